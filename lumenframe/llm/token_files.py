@@ -60,7 +60,14 @@ def decode_ids(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 _SPACES = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: A space amid or at the end of a run of white space: there a text cannot be cut.
-_RUN = _SPACES + " (" + _SPACES + "|$)"
+_RUN = _SPACES + " (" + _SPACES + "|$)|\x00"
+#: Leads a piece that starts at a line break; other pieces but a text's first start with a space. Texts with the
+#: character zero are encoded whole.
+_NEWLINE = "\x00\n"
+
+
+def _surface(piece: str) -> str:
+    return piece[1:] if piece.startswith(_NEWLINE) else " " + piece
 
 
 class PieceEncoder:
@@ -107,19 +114,28 @@ class PieceEncoder:
         some = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.empty(0, np.uint32), *some]), np.fromiter(map(len, some), np.int64, len(some))
 
-    def _learn(self, pieces: list[str]):
-        new = [p for p in pieces if p not in self.index]
+    def _known(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece, those not seen before learnt."""
+        at = list(map(self.index.get, pieces))
+        new = [p for p, k in zip(pieces, at, strict=True) if k is None]
+        if not new:
+            return np.array(at, np.int64)
         if len(self.index) + len(new) > self.max_pieces:
             self.forget()
             new = pieces
-        plain = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
+        self._learn(new)
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+
+    def _learn(self, new: list[str]):
+        plain = [p for p in new if (t := p.removeprefix(_NEWLINE)) and t.strip() == t]
         for i in range(0, len(plain), 1000):  # many in one call; the tokens' lengths in bytes tell where each ends
             some = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([1 + len(p.encode()) for p in some])) + 1
+            text = [_surface(p) for p in some]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(t.encode()) for t in text])) + 1
             self._add(some, ids, np.diff(ends, prepend=0))
         odd = [p for p in new if p not in self.index]
-        self._add(odd, *self.each([" " + p for p in odd]))
+        self._add(odd, *self.each([_surface(p) for p in odd]))
 
     def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``texts``: an Arrow string array without nulls. (all ids, number of ids of each text), end ids included."""
@@ -128,14 +144,13 @@ class PieceEncoder:
 
         n = len(texts)
         whole = pc.match_substring_regex(texts, _RUN).to_numpy(zero_copy_only=False)
-        parts = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), texts), " ")
+        lone = pc.invert(pc.match_substring_regex(texts, _SPACES + _SPACES))  # each line break stands alone: cut there too
+        cut = pc.if_else(lone, pc.replace_substring(texts, "\n", " " + _NEWLINE), texts)
+        parts = pc.split_pattern(pc.if_else(pa.array(whole), pa.scalar("", texts.type), cut), " ")
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         encoded = parts.flatten().dictionary_encode()
-        unique = encoded.dictionary.to_pylist()
-        self._learn(unique)
-        known = np.fromiter(map(self.index.__getitem__, unique), np.int64, len(unique))
-        piece = known[encoded.indices.to_numpy()]
+        piece = self._known(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()]
         size = self.size[piece]
         size[bounds[:-1]] = 0  # the first piece has no space before it
         heads = pc.if_else(pa.array(whole), texts, pc.list_element(parts, 0)).to_pylist()
@@ -182,9 +197,44 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
     return docs.select(q(id_col).cast("long") if kind != "bigint" else q(id_col), q(text_col)).mapInArrow(run, "id long, n long, wide boolean, ids binary")
 
 
-def _blobs(batch, column: int, wide: int):
-    for b, w in zip(batch.column(column).to_pylist(), batch.column(wide).to_pylist(), strict=True):
-        yield np.frombuffer(b, "<u4" if w else "<u2")
+def _all_ids(blobs, wide):
+    """The ids of a column of blobs, of the narrow ones and of the wide ones."""
+    import pyarrow.compute as pc
+
+    for w, kind in ((False, "<u2"), (True, "<u4")):
+        mine = blobs.filter(pc.equal(wide, w))
+        if len(mine):
+            yield np.frombuffer(b"".join(mine.to_pylist()), kind)
+
+
+def _coded(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Control and data bytes of each document, its control bytes padded to whole ones."""
+    v = np.ascontiguousarray(ids, "<u4")
+    code = (v > 0xFF).astype(np.uint8) + (v > 0xFFFF) + (v > 0xFFFFFF)
+    data = v.view(np.uint8).reshape(-1, 4)[np.arange(4) <= code[:, None]].tobytes()
+    starts = np.cumsum(counts) - counts
+    room = -(-counts // 4)
+    place = np.cumsum(room) - room
+    padded = np.zeros(4 * int(room.sum()), np.uint8)
+    padded[np.repeat(4 * place - starts, counts) + np.arange(len(v))] = code
+    four = padded.reshape(-1, 4)
+    control = (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
+    sizes = np.concatenate([[0], np.cumsum(code, dtype=np.int64) + np.arange(1, len(v) + 1)])
+    a, b = sizes[starts].tolist(), sizes[starts + counts].tolist()
+    return [control[p : p + r] + data[x:y] for p, r, x, y in zip(place.tolist(), room.tolist(), a, b, strict=True)]
+
+
+def _joined(coded: list[bytes], counts: np.ndarray) -> tuple[bytes, bytes]:
+    """One run of control bytes and one of data bytes from those of several documents."""
+    room = -(-counts // 4)
+    code = _CODES[np.frombuffer(b"".join([c[:r] for c, r in zip(coded, room.tolist(), strict=True)]), np.uint8)].ravel()
+    starts, place = np.cumsum(counts) - counts, 4 * (np.cumsum(room) - room)
+    own = code[np.repeat(place - starts, counts) + np.arange(int(counts.sum()))]
+    padded = np.zeros(-(-len(own) // 4) * 4, np.uint8)
+    padded[: len(own)] = own
+    four = padded.reshape(-1, 4)
+    control = four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6
+    return control.tobytes(), b"".join([c[r:] for c, r in zip(coded, room.tolist(), strict=True)])
 
 
 def frequency_ranks(tokens: DataFrame) -> np.ndarray:
@@ -195,11 +245,10 @@ def frequency_ranks(tokens: DataFrame) -> np.ndarray:
 
         total = np.zeros(0, np.int64)
         for b in batches:
-            for w in (False, True):
-                mine = [x for x, is_wide in zip(b.column(1).to_pylist(), b.column(0).to_pylist(), strict=True) if is_wide == w]
-                if mine:
-                    c = np.bincount(np.frombuffer(b"".join(mine), "<u4" if w else "<u2"))
-                    total = c + np.pad(total, (0, len(c) - len(total))) if len(c) > len(total) else total + np.pad(c, (0, len(total) - len(c)))
+            for ids in _all_ids(b.column(1), b.column(0)):
+                c = np.bincount(ids, minlength=len(total))
+                c[: len(total)] += total
+                total = c
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
@@ -225,11 +274,14 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
 
     def rank(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for b in batches:
-            both = [encode_ids(shared.value[x]) for x in _blobs(b, 3, 2)]
-            coded = [c + d for c, d in both]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(coded, pa.binary())], names=["id", "n", "coded"])
+            for w in set(b.column(2).to_pylist()):
+                mine = b.filter(pc.equal(b.column(2), w))
+                ids = next(_all_ids(mine.column(3), mine.column(2)))
+                coded = _coded(shared.value[ids], mine.column(1).to_numpy())
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(coded, pa.binary())], names=["id", "n", "coded"])
 
     def write(batches):
         import pyarrow as pa
@@ -244,11 +296,11 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
         out = None
 
         def flush():
-            values = np.concatenate([decode_ids(c[: -(-n // 4)], c[-(-n // 4) :], n) for _, n, c in held])
-            control, data = encode_ids(values)
+            counts = np.array([n for _, n, _ in held], np.int64)
+            control, data = _joined([c for _, _, c in held], counts)
             keys = np.array([i or 0 for i, _, _ in held], "<i8")
             null = np.array([i is None for i, _, _ in held], np.uint8)
-            out.write(MAGIC + struct.pack("<IQQ", len(held), len(values), len(data)) + keys.tobytes() + null.tobytes() + np.array([n for _, n, _ in held], "<u4").tobytes() + control + data)
+            out.write(MAGIC + struct.pack("<IQQ", len(held), int(counts.sum()), len(data)) + keys.tobytes() + null.tobytes() + counts.astype("<u4").tobytes() + control + data)
 
         pending = 0
         for b in batches:
