@@ -3,21 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from . import queries_rows, queries_scalar, queries_text  # noqa: F401
+from .registry import QUERIES, SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly revenue by market segment with conditional aggregates."""
-    o, c = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/customer.parquet")
-    return (
-        o.join(c, o.o_custkey == c.c_custkey).groupBy(F.date_trunc("quarter", "o_orderdate").cast("date").alias("quarter"), "c_mktsegment")
-        .agg(F.sum("o_totalprice").alias("revenue"), F.count_if(F.col("o_orderstatus") == "F").alias("n_filled"))
-    )
+    return QUERIES["summarize_group_quarter"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {"flagship": flagship}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"flagship": "SELECT date_trunc('quarter', o_orderdate)::DATE AS quarter, c_mktsegment, sum(o_totalprice) AS revenue, count(*) FILTER (WHERE o_orderstatus = 'F') AS n_filled FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL"}
+    return dict(SQL)
