@@ -97,8 +97,10 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 @dataclass
 class IsolationForest:
-    """Random splits of the unit box; each tree sees ``psi`` reference rows."""
+    """Random splits of the unit box; each tree sees ``psi`` reference rows. Nodes of all trees lie in flat arrays: a
+    node's children are ``child`` and the one after it, ``child`` 0 marks a leaf."""
 
+    root: np.ndarray
     feature: np.ndarray
     split: np.ndarray
     child: np.ndarray
@@ -108,43 +110,48 @@ class IsolationForest:
     @classmethod
     def fit(cls, x: np.ndarray, trees: int = 200, psi: int = 256, depth: int = 14, seed: int = 7) -> IsolationForest:
         rng, dims = np.random.default_rng(seed), x.shape[1]
-        size = 2 ** (depth + 1) - 1
-        feature = np.full((trees, size), -1, np.int16)
-        split = np.zeros((trees, size))
-        path = np.zeros((trees, size))
-        for t in range(trees):
+        roots, feature, split, child, path = [], [], [], [], []
+
+        def node() -> int:
+            feature.append(0)
+            split.append(0.0)
+            child.append(0)
+            path.append(0.0)
+            return len(path) - 1
+
+        for _ in range(trees):
             rows = x[rng.choice(len(x), min(psi, len(x)), replace=False)]
-            todo = [(0, rows, np.zeros(dims), np.ones(dims), 0)]
+            roots.append(node())
+            todo = [(roots[-1], rows, np.zeros(dims), np.ones(dims), 0)]
             while todo:
                 k, r, lo, hi, d = todo.pop()
                 if d == depth or len(r) <= 1:
-                    path[t, k] = d + _average_path(np.array(len(r)))
+                    path[k] = d + float(_average_path(np.array(len(r))))
                     continue
                 f = int(rng.integers(dims))
-                s = rng.uniform(lo[f], hi[f])
-                feature[t, k], split[t, k] = f, s
+                s = float(rng.uniform(lo[f], hi[f]))
+                feature[k], split[k], child[k] = f, s, node()
+                node()
                 left_hi, right_lo = hi.copy(), lo.copy()
                 left_hi[f] = right_lo[f] = s
                 below = r[:, f] < s
-                todo += [(2 * k + 1, r[below], lo, left_hi, d + 1), (2 * k + 2, r[~below], right_lo, hi, d + 1)]
-        used = int(np.max(np.nonzero((feature >= 0).any(0) | (path > 0).any(0))[0], initial=0)) + 1
-        return cls(feature[:, :used], split[:, :used], np.arange(used), path[:, :used], min(psi, len(x)))
+                todo += [(child[k], r[below], lo, left_hi, d + 1), (child[k] + 1, r[~below], right_lo, hi, d + 1)]
+        return cls(np.array(roots), np.array(feature, np.int16), np.array(split), np.array(child, np.int32), np.array(path), min(psi, len(x)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path / expected path): larger means more anomalous."""
         total = np.zeros(len(x))
         rows = np.arange(len(x))
-        for feature, split, path in zip(self.feature, self.split, self.path, strict=True):
-            node = np.zeros(len(x), np.int64)
+        for root in self.root:
+            node = np.full(len(x), root)
             while True:
-                f = feature[node]
-                inner = f >= 0
+                inner = self.child[node] > 0
                 if not inner.any():
                     break
-                step = 2 * node + 1 + (x[rows, np.maximum(f, 0)] >= split[node])
+                step = self.child[node] + (x[rows, self.feature[node]] >= self.split[node])
                 node = np.where(inner, step, node)
-            total += path[node]
-        return 2 ** (-total / len(self.path) / max(1e-9, float(_average_path(np.array(max(2, self.psi))))))
+            total += self.path[node]
+        return 2 ** (-total / len(self.root) / max(1e-9, float(_average_path(np.array(max(2, self.psi))))))
 
 
 def calibrate(good: np.ndarray, bad: np.ndarray, keep_good: float) -> float:
@@ -170,7 +177,7 @@ def _stats_udf(model: QualityModel | None):
     def stats(values):
         import pyarrow as pa
 
-        both = [text_stats(b) for b in raw(values)]
+        both = [text_stats(b) for i in range(0, len(values), 256) for b in raw(values.slice(i, 256))]
         s = np.array([x[0] for x in both], np.int64).reshape(-1, len(STATS))
         f = np.array([x[1] for x in both], float).reshape(-1, len(FEATURES))
         failed = base_failed(s[:, 0], s[:, 4])
@@ -195,11 +202,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         labels.select(q(id_col).alias("id"), q(quality_col).alias("y")).where("id is not null and y is not null")
         .groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     )
-    rows = (
+    found = (
         docs.select(q(id_col).alias("id"), q(text_col).alias("text")).join(F.broadcast(picked), "id")
-        .select("id", "y", _stats_udf(None)("text").alias("s")).where("not s.base_failed")
-        .select("id", "y", "s.features").dropDuplicates(["id"]).orderBy(F.xxhash64("id"), "id").collect()
+        .select("id", "y", _stats_udf(None)("text").alias("s")).select("id", "y", "s.base_failed", "s.features").where("not base_failed")
     )
+    rows = found.groupBy("id", "y").agg(F.min("features").alias("features")).orderBy(F.xxhash64("id"), "id").collect()
     good = np.array([r["features"] for r in rows if r["y"] > 0]).reshape(-1, len(FEATURES))
     bad = np.array([r["features"] for r in rows if r["y"] <= 0]).reshape(-1, len(FEATURES))
     if len(good) < 8 or not len(bad):
