@@ -72,6 +72,23 @@ def raw(column) -> list:
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
 
 
+def texts(column, step: int = 256):
+    """The values of :func:`raw`, with the bytes of ``step`` rows at a time in memory."""
+    for i in range(0, len(column), step):
+        yield from raw(column.slice(i, step))
+
+
+def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound the bytes of an Arrow batch sent to a Python worker. Whole texts differ much in length, so a bound on
+    rows alone leaves a worker's memory open. A smaller bound that the session has stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    units = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    in_bytes = lambda v: int(v.rstrip("bkmgBKMG") or 0) * units.get(v[-1].lower(), 1)
+    if not now or in_bytes(now) > in_bytes(size) or in_bytes(now) <= 0:
+        spark.conf.set(key, size)
+
+
 def ascii_fold_table() -> bytes:
     """bytes.translate table: A-Z to a-z, every other ASCII byte but digits and letters to a space."""
     return bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))
@@ -88,6 +105,6 @@ def word_count(text: Column) -> Column:
     def count(values):
         import pyarrow as pa
 
-        return pa.array([0 if b is None else len(b.split()) for b in raw(values)], pa.int64())
+        return pa.array([0 if b is None else len(b.split()) for b in texts(values)], pa.int64())
 
     return count(text)

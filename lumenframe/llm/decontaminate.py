@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_fold_table, q, raw
+from .common import ascii_fold_table, q, texts
 
 _FOLD = ascii_fold_table()
 BINS_BITS = 7
@@ -43,7 +43,7 @@ class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -170,7 +170,7 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
             index = shared_index.value
             for batch in batches:
-                rows = [(i, *m) for i, b in enumerate(raw(batch.column(1))) for m in index.matches(b)]
+                rows = [(i, *m) for i, b in enumerate(texts(batch.column(1))) for m in index.matches(b)]
                 ids = batch.column(0).take(pa.array([r[0] for r in rows], pa.int64()))
                 items = pa.array([index.items[r[1]][0] for r in rows])
                 yield pa.RecordBatch.from_arrays(
@@ -201,7 +201,7 @@ def is_contaminated(docs: DataFrame, text: Column, benchmark: DataFrame, thresho
         def hit(values, shared_index=shared_index):
             import pyarrow as pa
 
-            return pa.array([bool(shared_index.value.matches(b)) for b in raw(values)], pa.bool_())
+            return pa.array([bool(shared_index.value.matches(b)) for b in texts(values)], pa.bool_())
 
         out = out | hit(text)
     return out

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import q, raw, written
+from .common import q, texts, written
 from .url_filter import host_and_path
 
 _TOKEN = re.compile(
@@ -257,7 +257,7 @@ def site_templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05
 
         for batch in batches:
             rows = []
-            for host, b in zip(batch.column(0).to_pylist(), raw(batch.column(1)), strict=True):
+            for host, b in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 page = read_page(b)
                 hashes, sig = page.hashes(), page.signature()
                 rows += [(host, h, sig) for h in {-1, *(hashes[k] for k in page.candidates())}]
@@ -286,7 +286,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         def text(hosts, sources):
             import pyarrow as pa
 
-            return pa.array([read_page(b).text(shared.value.get(h, ())) for h, b in zip(hosts.to_pylist(), raw(sources), strict=True)], pa.string())
+            return pa.array([read_page(b).text(shared.value.get(h, ())) for h, b in zip(hosts.to_pylist(), texts(sources), strict=True)], pa.string())
 
         out = rows.withColumn("text", text("host", "html"))
     else:
@@ -296,7 +296,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         def text(lists, sources):
             import pyarrow as pa
 
-            return pa.array([read_page(b).text(frozenset(h or ())) for h, b in zip(lists.to_pylist(), raw(sources), strict=True)], pa.string())
+            return pa.array([read_page(b).text(frozenset(h or ())) for h, b in zip(lists.to_pylist(), texts(sources), strict=True)], pa.string())
 
         out = rows.join(lists, "host", "left").withColumn("text", text("template", "html"))
     return out.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_fold_table, q, raw
+from .common import ascii_fold_table, q, texts
 
 BITS = 18
 _FOLD = ascii_fold_table()
@@ -34,7 +34,7 @@ class _Places(dict):
     def __missing__(self, key):
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[key] = h = xxhash.xxh32_intdigest(key) >> (32 - BITS)
         return h
@@ -49,7 +49,7 @@ def _squeezed(shape: bytes) -> bytes:
 
 class _Shapes(dict):
     def __missing__(self, token):
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[token] = s = b"\x01" + _squeezed(token.translate(_SHAPE))
         return s
@@ -87,9 +87,9 @@ class OrdinalModel:
     cut: float = 0.0
     held_out: dict = field(default_factory=dict)
 
-    def linear(self, texts: list) -> np.ndarray:
-        out = np.zeros(len(texts))
-        for i, b in enumerate(texts):
+    def linear(self, values, n: int) -> np.ndarray:
+        out = np.zeros(n)
+        for i, b in enumerate(values):
             p, v = features(b)
             out[i] = float(self.weights[p] @ v)
         return out
@@ -149,7 +149,7 @@ def train(rows: list[tuple[bytes, float]], tail_level: float = 1.0, l2: float =
             x -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     theta = par[0] + np.concatenate([[0], np.cumsum(np.exp(par[1:]))])
     model = OrdinalModel(levels, w.astype(np.float32), theta, tail_level)
-    z = model.linear([b for b, _ in held])
+    z = model.linear([b for b, _ in held], len(held))
     expected, tail = model.score(z)
     good = np.array([g >= tail_level for _, g in held])
     if good.any() and not good.all():
@@ -184,7 +184,7 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
         import pyarrow as pa
 
         m = shared.value
-        expected, tail = m.score(m.linear(raw(values)))
+        expected, tail = m.score(m.linear(texts(values), len(values)))
         return pa.StructArray.from_arrays([pa.array(expected), pa.array(tail), pa.array(tail >= m.cut)], names=["expected_grade", "tail_probability", "kept"])
 
     return docs.select(q(id_col), grade(q(text_col)).alias("g")).select(q(id_col), "g.expected_grade", "g.tail_probability", "g.kept")

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, q, raw
+from .common import SPACE, q, texts
 
 SYMBOLS = b"#*$%&|<>"
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -177,7 +177,7 @@ def _stats_udf(model: QualityModel | None):
     def stats(values):
         import pyarrow as pa
 
-        both = [text_stats(b) for i in range(0, len(values), 256) for b in raw(values.slice(i, 256))]
+        both = [text_stats(b) for b in texts(values)]
         s = np.array([x[0] for x in both], np.int64).reshape(-1, len(STATS))
         f = np.array([x[1] for x in both], float).reshape(-1, len(FEATURES))
         failed = base_failed(s[:, 0], s[:, 4])

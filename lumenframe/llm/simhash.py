@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import q, raw, written
+from .common import q, texts, written
 from .graph import components
 
 MAX_BITS = 3
@@ -59,7 +59,7 @@ def fingerprint_column(text: Column, shingle_words: int = 3) -> Column:
     def udf(values):
         import pyarrow as pa
 
-        return pa.array(np.array([fingerprint(b, shingle_words) for b in raw(values)], np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(b, shingle_words) for b in texts(values)], np.uint64).view(np.int64))
 
     return udf(text)
 
