@@ -204,9 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     )
     found = (
         docs.select(q(id_col).alias("id"), q(text_col).alias("text")).join(F.broadcast(picked), "id")
-        .select("id", "y", _stats_udf(None)("text").alias("s")).select("id", "y", "s.base_failed", "s.features").where("not base_failed")
+        .select("id", "y", _stats_udf(None)("text").alias("s"))
     )
-    rows = found.groupBy("id", "y").agg(F.min("features").alias("features")).orderBy(F.xxhash64("id"), "id").collect()
+    # No filter on the statistics: it would be pushed below the join and compute them for all documents.
+    passed = F.when(~F.col("s.base_failed"), F.col("s.features"))
+    rows = found.groupBy("id", "y").agg(F.min(passed).alias("features")).orderBy(F.xxhash64("id"), "id").collect()
+    rows = [r for r in rows if r["features"] is not None]
     good = np.array([r["features"] for r in rows if r["y"] > 0]).reshape(-1, len(FEATURES))
     bad = np.array([r["features"] for r in rows if r["y"] <= 0]).reshape(-1, len(FEATURES))
     if len(good) < 8 or not len(bad):
