@@ -68,6 +68,25 @@ def test_ordinal_on_held_out_rows(spark, docs, empty):
     assert ordinal.score(docs, ordinal.train([], 2.0)).where("kept").count() == len(ROWS)
 
 
+def test_ordinal_finds_few_marks_in_long_texts():
+    rng = np.random.default_rng(1)
+    rows = []
+    for _ in range(4000):
+        g = (0, 1, 2, 2, 2)[rng.integers(5)]
+        words = [f"{'abcdefgh'[k % 8]}{k * 7919 % 99991}" for k in rng.integers(0, 30_000, 300)] + [f"vile{k}" for k in rng.integers(0, 500, 3 * (g == 1))] + ["%%"] * (40 * (g == 0))
+        rows.append((" ".join(words).encode(), float(g)))
+    m = ordinal.train(rows[:3200], 2.0)
+    expected, tail = m.score(m.linear([b for b, _ in rows[3200:]], 800))
+    for g, least, most in ((0.0, 0, 0.05), (1.0, 0, 0.1), (2.0, 0.9, 1)):
+        assert least <= np.mean([t >= m.cut for t, (_, x) in zip(tail, rows[3200:]) if x == g]) <= most
+
+
+def test_ordinal_of_hardly_any_rows():
+    for rows in ([(b"a", 0.0), (b"b", 1.0)], [(b"", 0.0), (b"", 2.0), (b"x y", 1.0)]):
+        expected, tail = (m := ordinal.train(rows, 1.0)).score(m.linear([b"a", None, b""], 3))
+        assert np.isfinite(expected).all() and np.isfinite(tail).all()
+
+
 def page(body, nav="Home"):
     return f"<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav>{nav}</nav>{body}<footer>f</footer></body></html>"
 
