@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import running_sums
+
 
 def do_cor_cols(df: DataFrame, cols: list[str]) -> DataFrame:
     """(var1, var2, correlation) for each pair of columns, rows with both values; one pass."""
@@ -43,11 +45,11 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
 
 
 def roc_points(df: DataFrame, score: str, positive: str) -> DataFrame:
-    """(score, tp, fp) at each distinct score, highest first: counts by score, then a range-partitioned running sum would
-    serve many scores; here the distinct scores are bounded by the caller (round them first)."""
-    by = df.groupBy(score).agg(F.sum(F.col(positive).cast("int")).alias("p"), F.sum((~F.col(positive)).cast("int")).alias("q"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.select(score, F.sum("p").over(w).alias("tp"), F.sum("q").over(w).alias("fp"))
+    """(score, tp, fp) at each distinct numeric score: counts by score, then running sums over ranges of the scores."""
+    p = F.col(positive).cast("int")
+    by = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.coalesce(F.sum(p), F.lit(0)).alias("p"), F.coalesce(F.sum(1 - p), F.lit(0)).alias("q"))
+    at = running_sums(by, score, {"p": "p_above", "q": "q_above"}, descending=True)
+    return at.select(score, (F.col("p_above") + F.col("p")).alias("tp"), (F.col("q_above") + F.col("q")).alias("fp"))
 
 
 def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:

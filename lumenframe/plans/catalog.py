@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_models, queries_rows, queries_scalar, queries_text  # noqa: F401
+from . import queries_models, queries_ranks, queries_rows, queries_scalar, queries_text  # noqa: F401
 from .registry import QUERIES, SQL
 
 
