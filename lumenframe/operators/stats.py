@@ -44,6 +44,29 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return s.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("statistic"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
 
 
+def p_values(tests: DataFrame, kind: str) -> DataFrame:
+    """``tests`` (a row for each test, as the functions of this module return) with ``p_value``. ``kind``: chi_squared, t
+    (two-sided) or f. NULL where a statistic or its degrees of freedom are NULL, NaN or not positive."""
+    from ..functions import distributions as P
+
+    cols, f = {"chi_squared": (("df",), P.p_chi_squared), "t": (("df",), P.p_t), "f": (("df_between", "df_within"), P.p_f)}[kind]
+
+    @F.udf("double")
+    def p(statistic, *df):
+        if statistic is None or statistic != statistic or any(d is None or not d > 0 for d in df):
+            return None
+        return float(f(statistic, *df))
+
+    return tests.withColumn("p_value", p("statistic", *cols))
+
+
+def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(cramers_v, statistic, n) of two columns' association; NULL if either has one value."""
+    r = F.least(F.count_distinct(a), F.count_distinct(b)) - 1
+    k = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(r.alias("k"))
+    return chi_squared(df, a, b).crossJoin(F.broadcast(k)).select(F.sqrt(F.try_divide(F.col("statistic"), F.col("n") * F.col("k"))).alias("cramers_v"), "statistic", "n")
+
+
 def roc_points(df: DataFrame, score: str, positive: str) -> DataFrame:
     """(score, tp, fp) at each distinct numeric score: counts by score, then running sums over ranges of the scores."""
     p = F.col(positive).cast("int")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ranks as R
+from ..operators import stats as S
 from ..operators import survival as V
 from .registry import query
 
@@ -57,3 +58,10 @@ def _(t):
     day = F.datediff(C("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date")) + 1
     d = t.orders.where(C("o_orderpriority").isin("1-URGENT", "5-LOW")).select(day.alias("t"), (C("o_orderstatus") == "F").alias("e"), "o_orderpriority")
     return _rounded(V.log_rank(d, "t", "e", "o_orderpriority")[0].drop("p_value"), statistic=7)
+
+
+@query("cramers_v", """WITH c AS (SELECT l_returnflag AS a, l_linestatus AS b, count(*) AS o FROM lineitem GROUP BY ALL), e AS (SELECT x.a, y.b, x.s::DOUBLE * y.s / (SELECT count(*) FROM lineitem) AS e
+FROM (SELECT a, sum(o) AS s FROM c GROUP BY a) x, (SELECT b, sum(o) AS s FROM c GROUP BY b) y), s AS (SELECT sum((coalesce(o, 0) - e) ** 2 / e) AS s FROM e LEFT JOIN c USING (a, b))
+SELECT round(sqrt(s / (n * least(ka - 1, kb - 1))), 8) AS cramers_v, round(s, 5) AS statistic, n FROM s, (SELECT count(*) AS n, count(DISTINCT l_returnflag) AS ka, count(DISTINCT l_linestatus) AS kb FROM lineitem)""")
+def _(t):
+    return _rounded(S.cramers_v(t.lineitem, "l_returnflag", "l_linestatus"), cramers_v=8, statistic=5)

@@ -5,6 +5,7 @@ import pytest
 
 from lumenframe.functions import distributions as P
 from lumenframe.operators import ranks as R
+from lumenframe.operators import stats as S
 from lumenframe.operators import survival as V
 
 
@@ -86,3 +87,11 @@ def test_log_rank_groups(spark):
     assert [r.group for r in g] == ["a", "b", "c"] and sum(r.n for r in g) == 60
     assert sum(r.observed for r in g) == pytest.approx(sum(r.expected for r in g)) and test.first().df == 2
     assert math.isnan(V.log_rank(spark.createDataFrame(rows[:1], "t double, e boolean, g string"), "t", "e", "g")[0].first().statistic)
+
+
+def test_p_values(spark):
+    t = spark.createDataFrame([(3.841458820694124, 1.0, 1.0), (None, 1.0, 1.0), (float("nan"), 1.0, 1.0), (2.0, 0.0, 0.0)], "statistic double, df double, df_between double")
+    assert [r.p_value for r in S.p_values(t, "chi_squared").collect()] == [pytest.approx(0.05, abs=1e-9), None, None, None]
+    f = spark.createDataFrame([(4.964602743730711, 1, 10)], "statistic double, df_between long, df_within long")
+    assert S.p_values(f, "f").first().p_value == pytest.approx(0.05, abs=1e-9)
+    assert S.p_values(spark.createDataFrame([(-2.2281388519649385, 10.0)], "statistic double, df double"), "t").first().p_value == pytest.approx(0.05, abs=1e-9)
