@@ -4,8 +4,10 @@ Test items are partitioned by their number of distinct shingles into classes wit
 document would drown a short item's Jaccard similarity, so for each class it is searched in windows of twice the
 class's bound, starting every bound: each passage as long as an item of the class lies within one window, and the
 similarity of item and window stays above 0.19 at a containment of 0.8. Signatures are one-permutation MinHash with
-128 bins; one equal bin makes a candidate (expected at least 24 equal bins at the threshold). Candidates are verified
-on the whole document: the share of the item's distinct shingles, as words, that the document holds anywhere.
+128 bins; one equal bin makes a candidate (expected at least 24 equal bins at the threshold for items of more shingles
+than bins). An item of up to 8 shingles has few bins to agree in, so it is looked up exactly: a document that holds all
+but m of its shingles holds one of any m + 1 of them, and each place of one of those makes a candidate. Candidates are
+verified on the whole document: the share of the item's distinct shingles, as words, that the document holds anywhere.
 
 The items are sent to the tasks in blocks of at most ``max_words_per_block`` words; beyond one block the documents are
 passed over once for each block, so nothing that is broadcast grows with the benchmark.
@@ -31,6 +33,7 @@ _FOLD = ascii_fold_table()
 BINS_BITS = 7
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _TABLE_BITS = 22
+EXACT_BOUND = 8  # the class that is looked up by shingles, not by bins
 
 
 def folded_words(b: bytes | None) -> list[bytes]:
@@ -70,7 +73,7 @@ def shingle_hashes(words: list[bytes], k: int) -> np.ndarray:
 
 def size_class(n: int) -> int:
     """The upper bound of the class of an item with n distinct shingles."""
-    return max(8, 1 << (n - 1).bit_length())
+    return max(EXACT_BOUND, 1 << (n - 1).bit_length())
 
 
 class ItemIndex:
@@ -87,7 +90,11 @@ class ItemIndex:
             at = len(self.items)
             m = min(k, len(words))
             self.items.append((item_id, {tuple(words[i : i + m]) for i in range(len(words) - m + 1)}, hashes))
-            first = np.unique(hashes >> np.uint64(64 - BINS_BITS), return_index=True)[1]
+            if size_class(len(hashes)) == EXACT_BOUND:
+                shingles = len(self.items[at][1])
+                first = np.arange(min(len(hashes), shingles - math.ceil(threshold * shingles - 1e-9) + 1))
+            else:
+                first = np.unique(hashes >> np.uint64(64 - BINS_BITS), return_index=True)[1]
             entries.setdefault(size_class(len(hashes)), []).extend((int(h), at) for h in hashes[first])
         self.table = np.zeros(1 << _TABLE_BITS, bool)
         self.classes = {}
@@ -98,7 +105,8 @@ class ItemIndex:
             self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)] = True
 
     def candidates(self, h: np.ndarray) -> set[int]:
-        """Items whose signature agrees in a bin with that of one of the text's windows."""
+        """Items of few shingles that share one of those looked up, and items whose signature agrees in a bin with that
+        of one of the text's windows."""
         maybe = np.nonzero(self.table[(h >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)])[0]
         out: set[int] = set()
         if not len(maybe):
@@ -107,6 +115,10 @@ class ItemIndex:
         for bound, (sig, item) in self.classes.items():
             lo = np.searchsorted(sig, h[maybe], "left")
             hi = np.searchsorted(sig, h[maybe], "right")
+            if bound == EXACT_BOUND:
+                for a, b in zip(lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
+                    out.update(item[a:b].tolist())
+                continue
             last = max(0, -(-(len(h) - 2 * bound) // bound))
             for p, a, b in zip(maybe[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
                 if out.issuperset(item[a:b].tolist()):
