@@ -3,10 +3,11 @@
 Each document gets a rate: the rates nearest to one in entropy that meet a token target for every source, with no rate
 above ``max_copies``. The convex dual has one multiplier a source; the rate is ``min(max_copies, exp(multiplier * size /
 mean size))``. Newton iterations (guarded by a bracket) run on the counts of (source, size), aggregated by Spark in each
-step. Rates are then rounded to whole copies by error feedback: documents are dealt to fixed buckets by a hash, and in
-each bucket and source, from the largest to the smallest, a document is rounded so that the running difference shrinks.
-The difference left is about that of the smallest documents, and a source that holds a third of all rows is spread over
-all buckets. Equal input gives equal output, whatever the partitioning.
+step. Rates are then rounded to whole copies by error feedback: each source's documents are dealt by a hash to buckets of
+its own, one for each 1024 of its rows, and in each bucket, from the largest to the smallest, a document is rounded so
+that the running difference shrinks. The difference left is about that of the smallest documents of each bucket, however
+many other sources there are, and a source that holds a third of all rows is spread over many buckets. Equal input gives
+equal output, whatever the partitioning.
 
 Only one row for each source reaches the driver (at most ``max_sources``; more is an error, as sources are categories).
 
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     targets = {k: by_source[plain[k]] for k in totals}
     tilt = solve(sizes.where("size > 0"), totals, targets, max_copies)
     release(sizes)
-    buckets = max(1, -(-sum(t["rows"] for t in totals.values()) // BUCKET_ROWS))
+    buckets = spark.createDataFrame([(k, -(-t["rows"] // BUCKET_ROWS)) for k, t in totals.items() if t["rows"] > BUCKET_ROWS], "key string, buckets long")
     table = {k: (float(totals[k]["size"]), targets[k], *tilt[k]) for k in totals}
     shared = spark.sparkContext.broadcast(table)
 
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
                 names=[*[f"c{i}" for i in range(len(names))], "size", "source_size", "target", "copies", "taken"],
             )
 
-    dealt = base.withColumn("deal", F.pmod("deal", F.lit(buckets))).repartition("deal").sortWithinPartitions("deal", "key", F.desc("size"), *[f"c{i}" for i, c in enumerate(names) if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string")])
+    dealt = base.join(F.broadcast(buckets), "key", "left").select(*[f"c{i}" for i in range(len(names))], "key", "size", F.pmod("deal", F.coalesce("buckets", F.lit(1))).alias("deal")).repartition("key", "deal").sortWithinPartitions("deal", "key", F.desc("size"), *[f"c{i}" for i, c in enumerate(names) if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string")])
     kinds = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
     schema = T.StructType(kinds + [T.StructField(c, T.DoubleType() if c == "target" else T.LongType()) for c in ("size", "source_size", "target", "copies", "taken")])
     out = dealt.mapInArrow(copies, schema)
