@@ -49,9 +49,13 @@ def release(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_lumenframe_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        release_path(df.sparkSession, path)
+
+
+def release_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

@@ -78,11 +78,12 @@ _ABC = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _OP5 = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(text, {_ABC}), '{FOLDED_WORD_REGEX}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(text, {_ABC}), '{FOLDED_WORD_REGEX}') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM d WHERE len(w) > 0)),
-bs AS (SELECT DISTINCT item_id, s FROM (SELECT item_id, unnest(list_transform(range(1, greatest(1, len(w) - 4) + 1), lambda i: array_to_string(w[i:i+4], ' '))) AS s FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, s FROM (SELECT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) AS s FROM d JOIN sizes ON len(w) >= k)),
+bs AS (SELECT DISTINCT item_id, k, s FROM (SELECT item_id, least(len(w), 5) AS k, unnest(list_transform(range(1, len(w) - least(len(w), 5) + 2), lambda i: array_to_string(w[i:i+least(len(w), 5)-1], ' '))) AS s FROM b WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS item_shingles FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS shared, any_value(item_shingles) AS item_shingles, count(*) / any_value(item_shingles)::DOUBLE AS containment
-FROM ds JOIN bs USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles) - 1e-9
+FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(item_shingles) - 1e-9
 """
 
 

@@ -24,3 +24,15 @@ def test_one_of_many_short_items_with_a_word_changed():
         text = [f"t{at}x{i}" for i in range(300)]
         assert [f[1:] for f in index.matches(" ".join(text[:at] + words[:8] + text[at:]).encode())] == [(4, 5)]
         assert index.matches(" ".join(text[:at] + words[:7] + text[at:]).encode()) == []
+
+
+def test_items_shorter_than_a_shingle_are_found_inside_long_texts():
+    items = [(1, b"Capital of France, Paris"), (2, b"forty two"), (3, b"one"), (4, b"never in it"), (5, b"")]
+    index = decontaminate.ItemIndex(items, 5, 0.8)
+    words = [f"w{i}" for i in range(5000)]
+    for at in (0, 1, 2500, 4999, 5000):
+        text = " ".join(words[:at] + ["capital", "of", "france", "paris"] + words[at:]).encode()
+        assert index.matches(text) == [(0, 1, 1)]
+        assert index.matches(text.replace(b"of france", b"of france,\n")) == [(0, 1, 1)]
+        assert index.matches(text.replace(b"of france", b"of new france")) == []
+    assert [f[0] for f in index.matches(b"forty two")] == [1] and [f[0] for f in index.matches(b"twenty-one")] == [2] and index.matches(b"ones fortytwo") == []
