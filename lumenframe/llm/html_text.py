@@ -1,10 +1,14 @@
 """Main-text extraction with site template removal.
 
-Each page is parsed into an element tree. Every block subtree is hashed, and the hashes are counted per host in Spark:
-a subtree that recurs on many pages of its host is the site's template and is deleted from them. A recurrence counts
-once for each distinct main text, so copies of one article do not make its paragraphs a template; inside an article's
-own element, prose blocks are never template. What rarely recurs but is no article by its markup (menus, asides, forms,
-adverts, reader comments, ...) is deleted by element, role and class words.
+Each page is parsed into an element tree. Every block subtree of its body is hashed, and the hashes are counted per host
+in Spark: a subtree that recurs with at least ``min_pages`` distinct main texts of its host is the site's template and is
+deleted from all its pages, whatever its tag or class. The main text is picked from what is left: the longest article
+element, else the main element, else the body. What a site shows on too few pages to recur (menus, asides, forms,
+adverts, reader comments, ...) is then deleted by element, role and class words.
+
+A recurrence counts once for each distinct main text, so copies of one article do not make its paragraphs a template. An
+article's paragraphs, headings, cells and list items are never template, nor is the page's longest article; its lists,
+tables and other blocks may be.
 
 Defined results: a null or empty html gives an empty text; a page without an article or main element is read from its
 body; broken markup is read as far as it goes; a null url belongs to the host ""; repeated rows get equal texts; an
@@ -20,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import q, texts, written
+from .common import q, release, texts, written
 from .url_filter import host_and_path
 
 _TOKEN = re.compile(
@@ -34,7 +38,7 @@ _BLOCK = frozenset(
 )
 _CLOSES_P = _BLOCK - frozenset("body caption dd dt head html legend li option tbody td tfoot th thead tr".split())
 _SCOPE = frozenset("table td th body html article section div main ul ol dl blockquote".split())
-_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol blockquote pre dl dt dd table tbody thead tfoot tr td th caption figcaption hgroup".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd tbody thead tfoot tr td th caption figcaption hgroup".split())
 _JUNK = frozenset("head nav footer aside form menu button select option input label fieldset dialog search script style canvas audio video map".split()) | _RAW
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 _WORDS = frozenset(
@@ -47,6 +51,7 @@ _ATTR = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _PIECES = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+SALTS = 16
 
 
 class Page:
@@ -151,36 +156,35 @@ class Page:
                     return True
         return False
 
-    def marks(self) -> None:
-        """Sets ``junk`` (own or an ancestor's) and ``root``, the element that holds the article."""
+    def below(self, marked: list[bool]) -> list[bool]:
+        """Nodes that are marked or lie in one that is."""
+        out = list(marked)
+        for k in range(1, len(out)):
+            out[k] = out[k] or out[self.parent[k]]
+        return out
+
+    def longest_article(self, gone=None) -> int | None:
+        """The longest article element that lies in no other."""
+        if "article" not in self.tag:
+            return None
+        inner = self.below([t == "article" for t in self.tag])
+        tops = [k for k in range(1, len(self.tag)) if self.tag[k] == "article" and not inner[self.parent[k]] and not (gone and gone[k])]
+        return max(tops, key=lambda k: (self.length[k], -k), default=None)
+
+    def main_text(self, gone: list[bool], rules: bool) -> tuple[list[bool], list[bool]]:
+        """(nodes of the main element, nodes deleted), from what ``gone`` leaves. Without ``rules`` only markup goes."""
         n = len(self.tag)
-        self.junk = [False] * n
-        best = main = None
-        inside = [False] * n
-        for k in range(1, n):
-            p, tag = self.parent[k], self.tag[k]
-            self.junk[k] = self.junk[p] or self.is_junk(k)
-            inside[k] = inside[p] or self.tag[p] == "article"
-            if self.junk[k]:
-                continue
-            if tag == "article" and not inside[k] and (best is None or self.length[k] > self.length[best]):
-                best = k
-            if (tag == "main" or 'role="main"' in self.attrs[k]) and main is None:
-                main = k
-        self.semantic = best is not None or main is not None
-        self.root = best if best is not None else main if main is not None else 0
-        self.within = [False] * n
-        self.within[self.root] = True
-        for k in range(self.root + 1, n):
-            self.within[k] = self.within[self.parent[k]]
+        junk = self.below([gone[k] or (self.is_junk(k) if rules else self.tag[k] in _RAW or self.tag[k] == "head") for k in range(n)])
+        if not rules:
+            return [True] * n, junk
+        root = self.longest_article(junk)
+        if root is None:
+            root = next((k for k in range(1, n) if not junk[k] and (self.tag[k] == "main" or 'role="main"' in self.attrs[k])), 0)
+        within = self.below([k == root for k in range(n)])
         for k in range(1, n):  # of a header, an article's headings stay
-            if self.junk[k] or self.tag[k] != "header" or self.holds[k]:
-                continue
-            if not (self.semantic and self.within[k]):
-                self.junk[k] = True
-        for k in range(1, n):
-            if self.junk[self.parent[k]]:
-                self.junk[k] = True
+            if self.tag[k] == "header" and not self.holds[k] and not (root and within[k]):
+                junk[k] = True
+        return within, self.below(junk)
 
     def hashes(self) -> list[int]:
         import xxhash
@@ -200,30 +204,29 @@ class Page:
         return out
 
     def candidates(self) -> list[int]:
-        """Subtrees that may be template: block elements with text that are not, or in, the article's own prose."""
+        """Subtrees that may be template: block elements with text, but for the longest article and articles' prose."""
+        own = self.longest_article()
+        inside = self.below([t == "article" for t in self.tag])
         return [
             k for k in range(1, len(self.tag))
-            if self.length[k] and self.tag[k] in _BLOCK and not self.holds[k] and self.tag[k] not in ("html", "body", "head") and k != self.root
-            and not (self.semantic and self.within[k] and self.tag[k] in _PROSE)
+            if self.length[k] and self.tag[k] in _BLOCK and not self.holds[k] and self.tag[k] not in ("html", "body", "head", "main") and k != own
+            and not (inside[k] and self.tag[k] in _PROSE)
         ]
 
-    def signature(self) -> int:
+    def signature(self, rules: bool = True) -> int:
         import xxhash
 
-        return xxhash.xxh3_64_intdigest(self.text(()).encode("utf-8", "surrogatepass")) >> 1
+        return xxhash.xxh3_64_intdigest(self.text((), rules).encode("utf-8", "surrogatepass")) >> 1
 
-    def text(self, template) -> str:
-        """The main text less the subtrees whose hash is in ``template``."""
+    def text(self, template=(), rules: bool = True) -> str:
+        """The main text of what is left without the subtrees whose hash is in ``template``."""
         n = len(self.tag)
-        gone = self.junk
+        gone = [False] * n
         if template:
-            gone, hashes = list(self.junk), self.hashes()
+            hashes = self.hashes()
             for k in self.candidates():
-                if hashes[k] in template:
-                    gone[k] = True
-            for k in range(1, n):
-                if gone[self.parent[k]]:
-                    gone[k] = True
+                gone[k] = hashes[k] in template
+        within, gone = self.main_text(self.below(gone), rules)
         in_header, heading = [False] * n, [False] * n
         for k in range(1, n):
             p = self.parent[k]
@@ -235,7 +238,7 @@ class Page:
                 if now and (block := " ".join("".join(now).split())):
                     blocks.append(block)
                 now = []
-            elif self.within[k] and not gone[k] and (heading[k] or not in_header[k]):
+            elif within[k] and not gone[k] and (heading[k] or not in_header[k]):
                 now.append(t)
         if now and (block := " ".join("".join(now).split())):
             blocks.append(block)
@@ -243,60 +246,72 @@ class Page:
 
 
 def read_page(b: bytes | None) -> Page:
-    page = Page(b.decode("utf-8", "replace") if b else "")
-    page.marks()
-    return page
+    return Page(b.decode("utf-8", "replace") if b else "")
 
 
-def site_templates(pages: DataFrame, min_pages: int = 3, min_share: float = 0.05, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, hash) of the subtrees that recur with at least ``min_pages`` distinct main texts of their host and with
-    at least ``min_share`` of them."""
+def page_subtrees(pages: DataFrame, url_col: str, html_col: str, rules: bool) -> DataFrame:
+    """(page, host, sig, hashes) for each distinct page: its row's hash, main text's hash and candidate subtrees."""
 
     def subtrees(batches):
         import pyarrow as pa
 
         for batch in batches:
-            rows = []
-            for host, b in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+            sigs, hashes = [], []
+            for b in texts(batch.column(2)):
                 page = read_page(b)
-                hashes, sig = page.hashes(), page.signature()
-                rows += [(host, h, sig) for h in {-1, *(hashes[k] for k in page.candidates())}]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["host", "hash", "sig"])
+                all_ = page.hashes()
+                hashes.append(sorted({all_[k] for k in page.candidates()}))
+                sigs.append(page.signature(rules))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sigs, pa.int64()), pa.array(hashes, pa.list_(pa.int64()))], names=["page", "host", "sig", "hashes"])
+
+    rows = pages.select(_page_key(url_col, html_col).alias("page"), host_and_path(q(url_col))[0].alias("host"), q(html_col))
+    return rows.mapInArrow(subtrees, "page long, host string, sig long, hashes array<long>")
+
+
+def _page_key(url_col: str, html_col: str):
+    return F.xxhash64(q(url_col), q(html_col))
+
 
-    seen = pages.select(host_and_path(q(url_col))[0].alias("host"), q(html_col)).mapInArrow(subtrees, "host string, hash long, sig long")
-    n = written(seen.distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= F.when(F.col("hash") == -1, 1).otherwise(min_pages)), "html-subtrees")
-    whole = n.where("hash = -1").select("host", F.col("n").alias("pages"))
-    return n.where("hash <> -1").join(whole, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash")
+def site_templates(subtrees: DataFrame, min_pages: int = 3) -> DataFrame:
+    """(host, hash) of the subtrees that recur with at least ``min_pages`` distinct main texts of their host. Counted by
+    (host, hash, main text) first, so a subtree that all pages of a large host have is merged before it meets in a task."""
+    seen = subtrees.select("host", "sig", F.explode("hashes").alias("hash")).distinct()
+    return seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages).select("host", "hash")
 
 
-def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", max_broadcast: int = 300_000, **template_options) -> DataFrame:
-    """(id, url, text, n_chars) for each page. The templates are sent to the tasks if they are at most ``max_broadcast``
-    hashes, else joined by host (each host has at most subtrees-a-page / min_share of them)."""
+def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 3, max_broadcast: int = 300_000, rules: bool = True) -> DataFrame:
+    """(id, url, text, n_chars) for each page. Up to ``max_broadcast`` template hashes are sent to the tasks; more are
+    joined to the pages' own subtrees, a few narrow rows a page, and each page is given the hashes that it has (a large
+    host's rows are dealt over ``SALTS``). ``rules=False``: templates alone, no element or class words, the whole body."""
     spark = pages.sparkSession
-    templates = written(site_templates(pages, url_col=url_col, html_col=html_col, **template_options), "html-templates")
+    subtrees = page_subtrees(pages, url_col, html_col, rules)
+    templates = written(site_templates(subtrees, min_pages), "html-templates")
     host = host_and_path(q(url_col))[0]
-    rows = pages.select(q(id_col).alias("id"), q(url_col).alias("url"), host.alias("host"), q(html_col).alias("html"))
+    rows = pages.select(q(id_col).alias("id"), q(url_col).alias("url"), host.alias("host"), q(html_col).alias("html"), _page_key(url_col, html_col).alias("page"))
     if templates.count() <= max_broadcast:
         by_host: dict = {}
-        for r in templates.collect():
-            by_host.setdefault(r["host"], set()).add(r["hash"])
+        for host, found in zip(*(c.to_pylist() for c in templates.toArrow().columns), strict=True):
+            by_host.setdefault(host, set()).add(found)
+        release(templates)
         shared = spark.sparkContext.broadcast(by_host)
 
         @F.arrow_udf(T.StringType())
         def text(hosts, sources):
             import pyarrow as pa
 
-            return pa.array([read_page(b).text(shared.value.get(h, ())) for h, b in zip(hosts.to_pylist(), texts(sources), strict=True)], pa.string())
+            return pa.array([read_page(b).text(shared.value.get(h, ()), rules) for h, b in zip(hosts.to_pylist(), texts(sources), strict=True)], pa.string())
 
         out = rows.withColumn("text", text("host", "html"))
     else:
-        lists = templates.groupBy("host").agg(F.collect_list("hash").alias("template"))
+        own = subtrees.select("page", "host", F.explode("hashes").alias("hash"), F.pmod("page", F.lit(SALTS)).alias("salt"))
+        dealt = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn("salt", F.col("salt").cast("long"))
+        lists = own.join(dealt, ["host", "hash", "salt"]).groupBy("page").agg(F.collect_set("hash").alias("template"))
 
         @F.arrow_udf(T.StringType())
         def text(lists, sources):
             import pyarrow as pa
 
-            return pa.array([read_page(b).text(frozenset(h or ())) for h, b in zip(lists.to_pylist(), texts(sources), strict=True)], pa.string())
+            return pa.array([read_page(b).text(frozenset(h or ()), rules) for h, b in zip(lists.to_pylist(), texts(sources), strict=True)], pa.string())
 
-        out = rows.join(lists, "host", "left").withColumn("text", text("template", "html"))
+        out = rows.join(lists, "page", "left").withColumn("text", text("template", "html"))
     return out.select(F.col("id").alias(id_col), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
