@@ -88,25 +88,31 @@ FROM ds JOIN bs USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAV
 
 
 def _canonical_sql(text: str) -> str:
-    out = f"regexp_replace(regexp_replace(translate({text}, {_ABC}), '{licenses.COPYRIGHT_LINE}', '', 'g'), '{licenses.NOT_WORD}', ' ', 'g')"
+    out = f"translate({text}, {_ABC})"
+    for line in licenses.DROPPED_LINES:
+        out = f"regexp_replace({out}, '{line}', '', 'g')"
+    out = f"regexp_replace({out}, '{licenses.NOT_WORD}', ' ', 'g')"
     for old, new in licenses.SPELLINGS:
         out = f"replace({out}, '{old}', '{new}')"
     return out
 
 
 def _one_line_sql(lines: str) -> str:
-    return rf"trim(regexp_replace({lines}, '[\n ]+', ' ', 'g'))"
+    return rf"regexp_replace(trim(regexp_replace({lines}, '[\n ]+', ' ', 'g')), '{licenses.HOLDER}', '{licenses.ANY_HOLDER}', 'g')"
 
 
 def _op7() -> str:
-    known = ", ".join("('{}', '{}', '{}')".format(i, k, t.replace("'", "''")) for i, k, t in licenses.KNOWN)
+    """The known texts are brought into canonical form by SQL too."""
+    known = ", ".join("('{}', '{}', '{}')".format(i, k, t.replace("'", "''")) for i, k, t in licenses.known_rows())
     return rf"""
 WITH known(license_id, kind, text) AS (VALUES {known}),
-t AS (SELECT sha256({_one_line_sql(_canonical_sql('text'))}) AS digest, min(license_id) AS license_id FROM known GROUP BY 1),
-notice AS (SELECT {_one_line_sql(_canonical_sql('text'))} AS line, min(license_id) AS id FROM known WHERE kind = 'notice' GROUP BY 1),
+k AS (SELECT license_id, kind, {_one_line_sql(_canonical_sql('text'))} AS form FROM known),
+t AS (SELECT sha256(form) AS digest, min(license_id) AS license_id FROM k WHERE kind = 'text' GROUP BY 1),
+notice AS (SELECT form AS piece, min(license_id) AS id FROM k WHERE kind = 'notice' GROUP BY 1),
 d AS (SELECT doc_id, {_canonical_sql('text')} AS lines FROM documents),
 f AS (SELECT doc_id, lines, {_one_line_sql('lines')} AS form FROM d),
-l AS (SELECT doc_id, string_agg(id, ',' ORDER BY id) AS notices FROM (SELECT DISTINCT doc_id, id FROM (SELECT doc_id, trim(regexp_replace(unnest(string_split(lines, chr(10))), ' +', ' ', 'g')) AS line FROM d) JOIN notice USING (line)) GROUP BY doc_id)
+p AS (SELECT doc_id, unnest(list_concat(string_split(lines, chr(10)), string_split_regex(lines, '{licenses.PARAGRAPH}'))) AS piece FROM d),
+l AS (SELECT doc_id, string_agg(id, ',' ORDER BY id) AS notices FROM (SELECT DISTINCT doc_id, id FROM (SELECT doc_id, {_one_line_sql('piece')} AS piece FROM p) JOIN notice USING (piece)) GROUP BY doc_id)
 SELECT f.doc_id, CASE WHEN form <> '' THEN sha256(form) END AS digest, t.license_id, coalesce(l.notices, '') AS notices
 FROM f LEFT JOIN t ON t.digest = CASE WHEN form <> '' THEN sha256(form) END LEFT JOIN l ON l.doc_id = f.doc_id
 """

@@ -202,11 +202,12 @@ def test_integer_coding():
 
 
 def test_licenses(spark, docs, empty):
-    mit = next(t for i, k, t in licenses.KNOWN if i == "MIT" and k == "text")
-    more = spark.createDataFrame([(20, "Copyright (c) 2020 X\n" + mit.upper().replace("SUBLICENSE", "sublicence").replace(",", " ; "), "x"), (21, "a\nreleased under  the MIT licence\nb", "x"), (22, mit + " more", "x")], "doc_id long, text string, digest string")
+    mit = next(t for i, k, t in licenses.known_rows() if i == "MIT" and k == "text")
+    more = spark.createDataFrame([(20, "Copyright (c) 2020 X\n" + mit.upper().replace("SUBLICENSE", "sublicence").replace(",", " ; "), "x"), (21, "a\nreleased under  the MIT licence\nb", "x"), (22, mit + " more", "x")], "doc_id long, text string, license_id string")
     got = {r.doc_id: r for r in licenses.scan(more).collect()}
     assert got[20].license_id == "MIT" and got[21].license_id is None and got[21].notices == "MIT" and got[22].license_id is None
     assert {r.doc_id: r.digest for r in licenses.scan(docs).collect()}[1] is None
+    assert Counter(r.doc_id for r in licenses.scan(docs).collect()) == Counter(r[0] for r in ROWS)
     assert licenses.scan(empty).count() == 0
 
 
