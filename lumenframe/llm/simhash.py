@@ -23,10 +23,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import q, texts, written
+from .common import q, release, texts, written
 from .graph import components
 
 MAX_BITS = 3
+SLOT_SAMPLE = 1 << 20
+MAX_HOT = 200_000
 _GENERATOR = 0xC75  # fixed value: generator polynomial of the binary Golay code, x^11+x^10+x^6+x^5+x^4+x^2+1
 _MASK23 = (1 << 23) - 1
 
@@ -125,42 +127,40 @@ def spanning_links(fp: np.ndarray, max_bits: int) -> list[tuple[np.ndarray, np.n
     return out
 
 
-def _slots(fps: DataFrame, bits: int) -> DataFrame:
+def _slots(fps: DataFrame, bits: int, every: int) -> DataFrame:
     def count(batches):
         import pyarrow as pa
 
-        total = np.zeros(1 << bits, np.int64)
         for b in batches:
             keys = fuzzy_keys(b.column(0).to_numpy().view(np.uint64))[1]
-            total += np.bincount((_mix(keys) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits)
-        at = np.nonzero(total)[0]
-        for i in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[i : i + 100_000]), pa.array(total[at[i : i + 100_000]])], names=["slot", "n"])
+            slot, n = np.unique((_mix(keys) & np.uint64((1 << bits) - 1)).astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n.astype(np.int64))], names=["slot", "n"])
 
-    return fps.select("fp").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    some = fps.select("fp").where(F.pmod(F.xxhash64("fp"), F.lit(every)) == 0)
+    return some.mapInArrow(count, "slot long, n long").groupBy("slot").agg((F.sum("n") * every).alias("n"))
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = 2048) -> DataFrame:
     """(u, v): links among the distinct signed fingerprints of ``fps.fp``, enough to connect all within ``max_bits``.
 
-    Keys are counted in hashed slots, at least as many as a quarter of the fingerprints (65,536 to 2**26). A slot
-    above ``max(2 * block, 8 times the mean)`` is dealt in blocks; at most an eighth of the slots can be so, which
-    bounds the list of them that is sent to the tasks.
+    Keys are counted in hashed slots to find those to be dealt in blocks, over all fingerprints up to ``SLOT_SAMPLE`` and
+    over about as many beyond; whether a slot is dealt in blocks decides where its pairs meet, not which. A slot is hot
+    above ``2 * block`` rows, 8 times the mean and one ``MAX_HOT``-th of all rows, so at most ``MAX_HOT`` are.
     """
     if max_bits > MAX_BITS:
         raise ValueError("the keys cover up to 3 differing bits")
     n = fps.count()
-    bits = min(26, max(16, (n // 4).bit_length()))
-    slots = written(_slots(fps, bits), "simhash-slots")
-    mean = (slots.agg(F.sum("n")).first()[0] or 0) / (1 << bits)
-    hot_rows = slots.where(F.col("n") > max(2 * block, 8 * mean)).collect()
-    hot = {r["slot"]: -(-r["n"] // block) for r in hot_rows}
-    hot_slot = np.array(sorted(hot), np.int64)
-    hot_blocks = np.array([hot[s] for s in sorted(hot)], np.int64)
+    bits = min(30, max(16, (n // 4).bit_length()))
+    slots = written(_slots(fps, bits, max(1, n // SLOT_SAMPLE)), "simhash-slots")
+    total = slots.agg(F.sum("n")).first()[0] or 0
+    hot = slots.where(F.col("n") > max(2 * block, 8 * total / (1 << bits), total / MAX_HOT)).orderBy("slot").toArrow()
+    release(slots)
+    shared = fps.sparkSession.sparkContext.broadcast((hot.column("slot").to_numpy(), -(-hot.column("n").to_numpy() // block)))
 
     def emit(batches):
         import pyarrow as pa
 
+        hot_slot, hot_blocks = shared.value
         for batch in batches:
             whole = batch.column(0).to_numpy().view(np.uint64)
             for at in range(0, len(whole), 4096):
@@ -228,6 +228,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_root = linked.join(fps, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("rep").alias("least"))
     least = linked.join(of_root, "root").select(F.col("node").alias("fp"), "least")
     classes = written(fps.join(least, "fp", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "simhash-ids")
+    release(fps)
+    release(linked)
     return own.join(classes, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
