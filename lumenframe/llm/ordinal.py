@@ -177,16 +177,18 @@ def train(rows: list[tuple[bytes, float]], tail_level: float = 1.0, l1: float =
 
 
 def fit(docs: DataFrame, labels: DataFrame, grade, tail_level: float, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 6000, max_text_bytes: int = 64 << 20) -> OrdinalModel:
-    """``grade``: a column of ``labels``. At most ``max_labelled`` documents, and ``max_text_bytes`` of their texts, are read to the driver."""
+    """``grade``: a column of ``labels``. At most ``max_labelled`` documents, and ``max_text_bytes`` of their texts, are read
+    to the driver; of documents that repeat an id the least text is. ``held_out`` of the model tells how many rows were."""
     picked = labels.select(q(id_col).alias("id"), grade.cast("double").alias("g")).where("id is not null and g is not null").groupBy("id").agg(F.max("g").alias("g")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    rows = docs.select(q(id_col).alias("id"), q(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id").dropDuplicates(["id"]).select("id", "g", F.col("text").cast("binary").alias("b"))
+    rows = docs.select(q(id_col).alias("id"), q(text_col).alias("text")).where("text is not null").join(F.broadcast(picked), "id").groupBy("id", "g").agg(F.min("text").cast("binary").alias("b"))
     got, size = [], 0
     for r in rows.orderBy(F.xxhash64("id"), "id").toLocalIterator():
-        size += len(r["b"])
-        if size > max_text_bytes:
-            break
-        got.append((bytes(r["b"]), r["g"]))
-    return train(got, tail_level)
+        if size + len(r["b"]) <= max_text_bytes:  # a text too long for what is left is passed over, not the end of the sample
+            size += len(r["b"])
+            got.append((bytes(r["b"]), r["g"]))
+    model = train(got, tail_level)
+    model.held_out["labelled_rows_read"] = len(got)
+    return model
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
