@@ -6,7 +6,8 @@ byte. Control bytes and data bytes are stored apart, so numpy decodes a block wi
 
 A shard file is a row of blocks of whole documents. Block: ``LFTB``, documents (u32), ids (u64), data bytes (u64), then
 document ids (i64 each), null flags of those (u8 each), ids per document (u32 each), control bytes, data bytes, all
-little-endian. Shards hold documents in ascending id order, shard by shard. The manifest lists the files of the tasks
+little-endian. Shards hold documents in ascending id order (those that repeat an id by their text's CRC), shard by shard:
+documents are coded once, dealt to ranges of ids, written in order, counted, and each range's file becomes a shard. The manifest lists the files of the tasks
 that succeeded, so a retried or lost task leaves no wrong file behind; the ranks are in ``ranks.bin`` (u32 ids by rank).
 
 Tokens come from the ``tokenizers`` library. A byte-level BPE never joins text across the start of a single space after
@@ -20,6 +21,7 @@ each; an empty table gives no file and an empty result; other input columns are
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -28,10 +30,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, q, written
+from .common import new_path, q, release, written
 
 MAGIC = b"LFTB"
 BLOCK_IDS = 1 << 20
+FILE_BYTES = 200_000_000  # bytes of text a file, if there are more than shuffle partitions
+READ_ROWS = 256
 _CODES = np.array([[(c >> 2 * k) & 3 for k in range(4)] for c in range(256)], np.uint8)
 _MASKS = np.array([0xFF, 0xFFFF, 0xFFFFFF, 0xFFFFFFFF], np.uint32)
 
@@ -170,8 +174,32 @@ class PieceEncoder:
 _ENCODERS: dict[str, PieceEncoder] = {}
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6_000_000) -> DataFrame:
-    """(id, n, ids): the ids of each document as little-endian u16 or, if any is larger, u32 (``wide``)."""
+_NO_ID = -(1 << 63)
+
+
+def order_bounds(docs: DataFrame, parts: int, id_col: str, text_col: str, per_part: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending (id, CRC of the text) pairs that cut the documents into ``parts`` about equal ranges, from about
+    ``per_part`` rows a range. They decide the size of the files, not their order."""
+    rows = docs.select(F.coalesce(q(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), q(text_col).alias("text"))
+    every = max(1, rows.count() // (per_part * parts))
+    some = rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(every)) == 0).select("id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("tie")).toArrow()
+    ids, ties = (some.column(i).to_numpy() for i in (0, 1))
+    order = np.lexsort((ties, ids))
+    at = order[np.linspace(0, len(order), parts + 1).astype(int)[1:-1]] if len(order) else order
+    return ids[at], ties[at]
+
+
+def _range_of(ids: np.ndarray, ties: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    lo, hi = np.searchsorted(bounds[0], ids, "left"), np.searchsorted(bounds[0], ids, "right")
+    for i in np.nonzero(hi > lo)[0].tolist():
+        lo[i] += np.searchsorted(bounds[1][lo[i] : hi[i]], ties[i], "right")
+    return lo
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", slice_bytes: int = 6_000_000, bounds=None) -> DataFrame:
+    """(id, n, wide, ids, tie, part): the ids of each document as little-endian u16 or, if any is larger, u32 (``wide``),
+    the CRC of its text and its range among ``bounds``."""
+    bounds = bounds or (np.empty(0, np.int64), np.empty(0, np.int64))
 
     def run(batches):
         import pyarrow as pa
@@ -190,11 +218,13 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
                 data = ids.astype("<u4" if wide else "<u2").tobytes()
                 ends = np.concatenate([[0], np.cumsum(n)]) * (4 if wide else 2)
                 blobs = pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(n), pa.array([wide] * len(n), pa.bool_()), blobs], names=["id", "n", "wide", "ids"])
+                keys, ties = batch.column(0).slice(at, to - at), batch.column(2).slice(at, to - at)
+                part = _range_of(pc.fill_null(keys, _NO_ID).to_numpy(), ties.to_numpy(), bounds).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([keys, pa.array(n), pa.array([wide] * len(n), pa.bool_()), blobs, ties, pa.array(part)], names=["id", "n", "wide", "ids", "tie", "part"])
                 at = to
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(q(id_col).cast("long") if kind != "bigint" else q(id_col), q(text_col)).mapInArrow(run, "id long, n long, wide boolean, ids binary")
+    rows = docs.select(q(id_col).cast("long").alias("id"), q(text_col).alias("text"), F.crc32(F.coalesce(q(text_col), F.lit("")).cast("binary")).alias("tie"))
+    return rows.mapInArrow(run, "id long, n long, wide boolean, ids binary, tie long, part int")
 
 
 def _all_ids(blobs, wide):
@@ -266,61 +296,66 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     """Write ``docs`` as token files under ``path`` (a new folder in the shared one by default); the folder."""
     spark = docs.sparkSession
     path = (path or new_path(spark, "token-files")).rstrip("/")
-    tokens = written(tokenized(docs, tokenizer_path, end_id, id_col, text_col), "tokens")
+    size = docs.agg(F.sum(F.octet_length(q(text_col)).cast("long"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
+    coded = tokenized(docs, tokenizer_path, end_id, id_col, text_col, bounds=order_bounds(docs, parts, id_col, text_col))
+    tokens = written(coded.repartitionById(parts, F.col("part")).sortWithinPartitions("id", "tie").select("id", "n", "wide", "ids"), "tokens")
     ranks = frequency_ranks(tokens)
     lookup = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     lookup[ranks] = np.arange(len(ranks), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(lookup)
 
-    def rank(batches):
-        import pyarrow as pa
+    def ranked(batch):
+        """(id, n, coded) of each document, in the batch's order."""
         import pyarrow.compute as pc
 
-        for b in batches:
-            for w in set(b.column(2).to_pylist()):
-                mine = b.filter(pc.equal(b.column(2), w))
-                ids = next(_all_ids(mine.column(3), mine.column(2)))
-                coded = _coded(shared.value[ids], mine.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), pa.array(coded, pa.binary())], names=["id", "n", "coded"])
+        out: list = [None] * len(batch)
+        for w in set(batch.column(2).to_pylist()):
+            at = np.nonzero(pc.equal(batch.column(2), w).to_numpy(zero_copy_only=False))[0]
+            mine = batch.take(at)
+            ids = next(_all_ids(mine.column(3), mine.column(2)))
+            n = mine.column(1).to_numpy()
+            for i, *x in zip(at.tolist(), mine.column(0).to_pylist(), n.tolist(), _coded(shared.value[ids], n), strict=True):
+                out[i] = x
+        return out
 
     def write(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
+        import pyarrow.parquet as pq
 
         fs, folder = _open(path)
         fs.create_dir(folder, recursive=True)
-        pid = TaskContext.get().partitionId()
-        name = f"shard-{pid:06d}-{uuid.uuid4().hex[:12]}.bin"
-        docs_n = ids_n = 0
-        held: list = []
-        out = None
-
-        def flush():
-            counts = np.array([n for _, n, _ in held], np.int64)
-            control, data = _joined([c for _, _, c in held], counts)
-            keys = np.array([i or 0 for i, _, _ in held], "<i8")
-            null = np.array([i is None for i, _, _ in held], np.uint8)
-            out.write(MAGIC + struct.pack("<IQQ", len(held), int(counts.sum()), len(data)) + keys.tobytes() + null.tobytes() + counts.astype("<u4").tobytes() + control + data)
-
-        pending = 0
-        for b in batches:
-            for i, n, c in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                out = out or fs.open_output_stream(f"{folder}/{name}")
-                held.append((i, n, c))
-                docs_n, ids_n, pending = docs_n + 1, ids_n + n, pending + n
-                if pending >= BLOCK_IDS:
-                    flush()
-                    held, pending = [], 0
-        if held:
-            flush()
-        if out:
-            out.close()
-            yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=["pid", "name", "docs", "ids"])
-
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // 50_000_000)
-    coded = tokens.mapInArrow(rank, "id long, n long, coded binary")
-    files = coded.repartitionByRange(parts, F.col("id"), F.crc32("coded")).sortWithinPartitions(F.col("id"), F.crc32("coded")).mapInArrow(write, "pid long, name string, docs long, ids long").collect()
+        for pid, source in (x for b in batches for x in zip(*(c.to_pylist() for c in b.columns), strict=True)):
+            name = f"shard-{pid:06d}-{uuid.uuid4().hex[:12]}.bin"
+            docs_n = ids_n = pending = 0
+            held: list = []
+
+            def flush(out):
+                counts = np.array([n for _, n, _ in held], np.int64)
+                control, data = _joined([c for _, _, c in held], counts)
+                keys = np.array([i or 0 for i, _, _ in held], "<i8")
+                null = np.array([i is None for i, _, _ in held], np.uint8)
+                out.write(MAGIC + struct.pack("<IQQ", len(held), int(counts.sum()), len(data)) + keys.tobytes() + null.tobytes() + counts.astype("<u4").tobytes() + control + data)
+                held.clear()
+
+            source_fs, source_path = _open(source)
+            with source_fs.open_input_file(source_path) as stream, fs.open_output_stream(f"{folder}/{name}") as out:
+                for batch in pq.ParquetFile(stream).iter_batches(READ_ROWS, columns=["id", "n", "wide", "ids"]):
+                    for i, n, c in ranked(batch):
+                        held.append((i, n, c))
+                        docs_n, ids_n, pending = docs_n + 1, ids_n + n, pending + n
+                        if pending >= BLOCK_IDS:
+                            flush(out)
+                            pending = 0
+                if held:
+                    flush(out)
+            if docs_n:
+                yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=["pid", "name", "docs", "ids"])
+
+    sources = sorted(tokens.inputFiles(), key=lambda f: (int(re.search(r"part-(\d+)-", f)[1]), f))
+    table = spark.createDataFrame(list(enumerate(sources)), "pid int, source string").repartitionById(max(1, len(sources)), F.col("pid"))
+    files = table.mapInArrow(write, "pid long, name string, docs long, ids long").collect()
+    release(tokens)
     fs, folder = _open(path)
     fs.create_dir(folder, recursive=True)
     manifest = [{"name": f["name"], "docs": f["docs"], "ids": f["ids"]} for f in sorted(files, key=lambda f: f["pid"])]
