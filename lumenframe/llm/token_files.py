@@ -25,6 +25,7 @@ import re
 import struct
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -120,26 +121,32 @@ class PieceEncoder:
 
     def _known(self, pieces: list[str]) -> np.ndarray:
         """The number of each piece, those not seen before learnt."""
-        at = list(map(self.index.get, pieces))
-        new = [p for p, k in zip(pieces, at, strict=True) if k is None]
-        if not new:
-            return np.array(at, np.int64)
-        if len(self.index) + len(new) > self.max_pieces:
+        at = np.array(list(map(self.index.get, pieces, repeat(-1))), np.int64)
+        missing = np.nonzero(at < 0)[0]
+        if not len(missing):
+            return at
+        if len(self.index) + len(missing) > self.max_pieces:
             self.forget()
-            new = pieces
+            missing = np.arange(len(pieces))
+        new = [pieces[i] for i in missing.tolist()]
         self._learn(new)
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        at[missing] = list(map(self.index.__getitem__, new))
+        return at
 
     def _learn(self, new: list[str]):
-        plain = [p for p in new if (t := p.removeprefix(_NEWLINE)) and t.strip() == t]
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        plain = [p for p in new if p and not p[-1].isspace() and not p[0].isspace() and (p[0] != "\x00" or (len(p) > 2 and not p[2].isspace()))]
         for i in range(0, len(plain), 1000):  # many in one call; the tokens' lengths in bytes tell where each ends
             some = plain[i : i + 1000]
-            text = [_surface(p) for p in some]
+            text = [p[1:] if p[0] == "\x00" else " " + p for p in some]
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(t.encode()) for t in text])) + 1
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(pa.array(text)).to_numpy(), dtype=np.int64)) + 1
             self._add(some, ids, np.diff(ends, prepend=0))
-        odd = [p for p in new if p not in self.index]
-        self._add(odd, *self.each([_surface(p) for p in odd]))
+        if len(plain) < len(new):
+            odd = [p for p in new if p not in self.index]
+            self._add(odd, *self.each([_surface(p) for p in odd]))
 
     def encode(self, texts, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """``texts``: an Arrow string array without nulls. (all ids, number of ids of each text), end ids included."""
@@ -164,8 +171,11 @@ class PieceEncoder:
         counts = head_size + of_text + 1
         out = np.full(int(counts.sum()), end_id, np.uint32)
         begin = np.cumsum(counts) - counts
-        step = np.arange(body[-1])
-        out[np.repeat(begin + head_size - body[bounds[:-1]], of_text) + step] = self.flat[np.repeat(self.start[piece] - body[:-1], size) + step]
+        step = np.arange(body[-1], dtype=np.int32)  # a slice of texts has fewer ids than 2**31
+        source = np.repeat((self.start[piece] - body[:-1]).astype(np.int32), size)
+        source += step
+        step += np.repeat((begin + head_size - body[bounds[:-1]]).astype(np.int32), of_text)
+        out[step] = self.flat[source]
         if n:
             out[np.repeat(begin - np.cumsum(head_size) + head_size, head_size) + np.arange(len(head_ids))] = head_ids
         return out, counts
