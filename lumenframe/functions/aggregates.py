@@ -134,14 +134,21 @@ def non_na_ratio(x: Column, factor: int = 1) -> Column:
 def get_mode(x: Column, order: Column, na_rm: bool = False) -> Column:
     """The most frequent value; of equals the one that comes first by ``order``. NULL is a value unless ``na_rm``.
 
-    The group's values are counted one by one; for groups of many distinct values use
-    :func:`lumenframe.operators.grouping.mode_by`, which counts in two aggregations.
+    The group's rows are sorted by value and its runs counted in one scan; a group of very many rows is better counted in
+    two aggregations, by :func:`lumenframe.operators.grouping.mode_by`.
     """
-    rows = F.array_sort(F.collect_list(F.struct(order.alias("o"), x.alias("v"))))
+    rows = F.array_sort(F.collect_list(F.struct(x.alias("v"), order.alias("o"))))
     rows = F.filter(rows, lambda r: r["v"].isNotNull()) if na_rm else rows
-    values = F.transform(rows, lambda r: r["v"])
-    best = F.array_max(F.transform(rows, lambda r, i: F.struct(F.size(F.filter(values, lambda v: v.eqNullSafe(r["v"]))).alias("n"), (-i).alias("i"), r["v"].alias("v"))))
-    return best["v"]
+    first = F.get(rows, F.lit(0))
+    start = F.struct(first["v"].alias("v"), first["o"].alias("o"), F.lit(1).alias("n"), first["v"].alias("bv"), first["o"].alias("bo"), F.lit(1).alias("bn"))
+
+    def step(acc, r):
+        same = r["v"].eqNullSafe(acc["v"])
+        o, n = F.when(same, acc["o"]).otherwise(r["o"]), F.when(same, acc["n"] + 1).otherwise(F.lit(1))
+        better = (n > acc["bn"]) | ((n == acc["bn"]) & (o < acc["bo"]))
+        return F.struct(r["v"].alias("v"), o.alias("o"), n.alias("n"), F.when(better, r["v"]).otherwise(acc["bv"]).alias("bv"), F.when(better, o).otherwise(acc["bo"]).alias("bo"), F.when(better, n).otherwise(acc["bn"]).alias("bn"))
+
+    return F.aggregate(F.slice(rows, 2, F.greatest(F.size(rows) - 1, F.lit(0))), start, step)["bv"]
 
 
 def mean_square_error(actual: Column, predicted: Column) -> Column:
@@ -161,7 +168,8 @@ def mean_error(actual: Column, predicted: Column) -> Column:
 
 
 def mape(actual: Column, predicted: Column) -> Column:
-    return F.avg(F.abs((actual - predicted) / actual))
+    """Mean absolute error relative to the actual value; rows whose actual is 0 take no part."""
+    return F.avg(F.abs(F.try_divide(actual - predicted, actual)))
 
 
 def r_squared(actual: Column, predicted: Column) -> Column:
@@ -171,16 +179,16 @@ def r_squared(actual: Column, predicted: Column) -> Column:
 
 def confint_radius(x: Column, z: float = 1.959963984540054) -> Column:
     """Radius of the mean's normal confidence interval."""
-    return F.stddev_samp(x) / F.sqrt(F.count(x)) * z
+    return F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x))) * z
 
 
 def prop_confint_radius(x: Column, z: float = 1.959963984540054) -> Column:
     p = F.avg(x.cast("int"))
-    return F.sqrt(p * (1 - p) / F.count(x)) * z
+    return F.sqrt(F.try_divide(p * (1 - p), F.count(x))) * z
 
 
 def merge_vars(var: Column, mean: Column, size: Column) -> Column:
     """Population variance of a union of groups from the groups' variances, means and sizes."""
     n = F.sum(size)
-    m = F.sum(mean * size) / n
-    return F.sum(var * size) / n + F.sum(mean * mean * size) / n - m * m
+    m = F.try_divide(F.sum(mean * size), n)
+    return F.try_divide(F.sum(var * size), n) + F.try_divide(F.sum(mean * mean * size), n) - m * m

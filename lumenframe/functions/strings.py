@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .columns import quoted_replacement
+
 URL = r"https?://[^\s<>\"]+|www\.[^\s<>\"]+"
 _POSIX = {"digit": r"\p{Nd}", "alpha": r"\p{L}", "alnum": r"\p{L}\p{Nd}", "space": r"\s", "punct": r"\p{Punct}", "upper": r"\p{Lu}", "lower": r"\p{Ll}", "blank": r" \t", "xdigit": "0-9A-Fa-f", "cntrl": r"\p{Cntrl}", "word": r"\w"}
 
@@ -34,7 +36,7 @@ def str_extract_inside(x: Column, begin: str = "(", end: str = ")", all: bool =
 
 def str_replace_inside(x: Column, begin: str = "(", end: str = ")", rep: str = "", all: bool = False, include_special_chars: bool = True) -> Column:
     rep = rep if include_special_chars else begin + rep + end
-    p, r = _inside(begin, end), rep.replace("\\", "\\\\").replace("$", "\\$")
+    p, r = _inside(begin, end), quoted_replacement(rep)
     return F.regexp_replace(x, p, r) if all else F.regexp_replace(x, f"(?s)^(.*?){p}", "$1" + r)
 
 
@@ -66,7 +68,7 @@ def str_remove_url(x: Column, position: str = "any") -> Column:
 
 
 def str_replace_url(x: Column, rep: str = "") -> Column:
-    return F.regexp_replace(x, URL, rep)
+    return F.regexp_replace(x, URL, quoted_replacement(rep))
 
 
 def str_extract_url(x: Column, position: str = "any") -> Column:
@@ -107,11 +109,11 @@ def str_extract_after(x: Column, sep: str = r"\,", include_sep: bool = False) ->
 
 
 def str_replace_before(x: Column, sep: str = r"\,", rep: str = "", include_sep: bool = True) -> Column:
-    return F.regexp_replace(x, f"(?s)^.*?({sep})", rep if include_sep else rep + "$1")
+    return F.regexp_replace(x, f"(?s)^.*?({sep})", quoted_replacement(rep) + ("" if include_sep else "$1"))
 
 
 def str_replace_after(x: Column, sep: str = r"\,", rep: str = "", include_sep: bool = True) -> Column:
-    return F.regexp_replace(x, f"(?s)({sep}).*$", rep if include_sep else "$1" + rep)
+    return F.regexp_replace(x, f"(?s)({sep}).*$", ("" if include_sep else "$1") + quoted_replacement(rep))
 
 
 def str_remove_before(x: Column, sep: str = r"\,", include_sep: bool = True) -> Column:

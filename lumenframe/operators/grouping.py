@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import col
 from ..functions.dates import extract_from_date
 
 
-def _key(col: str, fun: str | None) -> Column:
-    """A group key: the column, or a date token of it, named ``<col>_<token>``."""
-    c = F.col(f"`{col}`")
+def _key(name: str, fun: str | None) -> Column:
+    """A group key: the column, or a date token of it, named ``<name>_<token>``."""
     if not fun or fun == "none":
-        return c
-    return extract_from_date(c, fun).alias(f"{col}_{fun}")
+        return col(name)
+    return extract_from_date(col(name), fun).alias(f"{name}_{fun}")
 
 
 def summarize_group(df: DataFrame, group_cols: list[str] = (), group_funs: list[str | None] = (), **aggregates: Column) -> DataFrame:
@@ -40,8 +40,9 @@ def pivot(df: DataFrame, row_cols: list[str], col_col: str, aggregate: Column, v
         if len(found) > max_columns:
             raise ValueError(f"over {max_columns} columns")
         values = [r[0] for r in found]
-    out = base.groupBy(*rows).pivot("__col", [str(v) for v in values]).agg(aggregate)
-    return out if fill is None else out.fillna(fill, subset=[c for c in out.columns if c in {str(v) for v in values}])
+    named = [str(v) for v in values]
+    out = base.groupBy(*rows).pivot("__col", named).agg(aggregate)
+    return out if fill is None else out.select(*[F.coalesce(col(c), F.lit(fill)).alias(c) if c in named else col(c) for c in out.columns])
 
 
 def one_hot(df: DataFrame, key: str, values: list | None = None, max_columns: int = 10_000) -> DataFrame:
@@ -73,9 +74,9 @@ def multiple_answers_to_longer(df: DataFrame, cols: list[str], sep: str = ",", q
 
 def mode_by(df: DataFrame, keys: list[str], value: str, order: str, na_rm: bool = False) -> DataFrame:
     """The most frequent value of each group in two partial aggregations; of equals the first by ``order``."""
-    base = df.where(F.col(value).isNotNull()) if na_rm else df
-    counts = base.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"), F.min(order).alias("__o"))
-    return counts.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("__n"), F.col("__o"))).alias("mode"))
+    base = df.where(col(value).isNotNull()) if na_rm else df
+    counts = base.groupBy(*map(col, keys), col(value)).agg(F.count(F.lit(1)).alias("__n"), F.min(col(order)).alias("__o"))
+    return counts.groupBy(*map(col, keys)).agg(F.min_by(col(value), F.struct(-F.col("__n"), F.col("__o"))).alias("mode"))
 
 
 def filter_cascade(df: DataFrame, *conditions) -> DataFrame:

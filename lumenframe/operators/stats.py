@@ -8,40 +8,53 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import col
 from .ranks import running_sums
 
 
 def do_cor_cols(df: DataFrame, cols: list[str]) -> DataFrame:
     """(var1, var2, correlation) for each pair of columns, rows with both values; one pass."""
     pairs = list(combinations(sorted(cols), 2))
-    one = df.agg(*[F.corr(F.when(F.col(b).isNotNull(), F.col(a)), F.when(F.col(a).isNotNull(), F.col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
+    one = df.agg(*[F.corr(F.when(col(b).isNotNull(), col(a)), F.when(col(a).isNotNull(), col(b))).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
     return one.select(F.explode(F.array(*[F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c{i}").alias("correlation")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
-def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(statistic, df, n) of independence of two columns."""
-    cells = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("o"))
-    rows = cells.groupBy(a).agg(F.sum("o").alias("r"))
-    cols = cells.groupBy(b).agg(F.sum("o").alias("c"))
+def _chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(statistic, r, c, n): the sum over cells that hold rows; cells without any add their expectation, which is what the
+    total lacks, so the table of all pairs of values is never made."""
+    cells = df.where(col(a).isNotNull() & col(b).isNotNull()).groupBy(col(a).alias("a"), col(b).alias("b")).agg(F.count(F.lit(1)).alias("o"))
+    rows = cells.groupBy("a").agg(F.sum("o").alias("r"))
+    cols = cells.groupBy("b").agg(F.sum("o").alias("c"))
     n = cells.agg(F.sum("o").alias("n"))
-    all_cells = rows.crossJoin(F.broadcast(cols)).crossJoin(F.broadcast(n)).join(cells, [a, b], "left").withColumn("o", F.coalesce("o", F.lit(0)))
+    sizes = rows.agg(F.count(F.lit(1)).alias("ra")).crossJoin(F.broadcast(cols.agg(F.count(F.lit(1)).alias("cb")))).crossJoin(F.broadcast(n))
     e = F.col("r") * F.col("c") / F.col("n")
-    return all_cells.agg(F.sum((F.col("o") - e) ** 2 / e).alias("statistic"), ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"), F.max("n").alias("n"))
+    seen = cells.join(rows, "a").join(cols, "b").crossJoin(F.broadcast(n)).agg(F.sum((F.col("o") - e) ** 2 / e).alias("s"), F.sum(e).alias("e"))
+    return seen.crossJoin(F.broadcast(sizes)).select((F.col("s") + F.col("n") - F.col("e")).alias("statistic"), F.col("ra").alias("r"), F.col("cb").alias("c"), "n")
+
+
+def chi_squared(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(statistic, df, n) of independence of two columns. NULLs take no part; of an empty table all but df are NULL."""
+    return _chi_squared(df, a, b).select("statistic", ((F.col("r") - 1) * (F.col("c") - 1)).alias("df"), "n")
 
 
 def welch_t(df: DataFrame, value: str, group: str, a, b) -> DataFrame:
-    """(statistic, df, mean_a, mean_b) of Welch's test."""
-    x, g = F.col(value), F.col(group)
+    """(statistic, df, mean_a, mean_b) of Welch's test. Without variance in either group statistic and df are NULL."""
+    x, g = col(value), col(group)
     s = df.agg(*[f(F.when(g == k, x)).alias(f"{n}{i}") for i, k in enumerate((a, b)) for n, f in (("m", F.avg), ("v", F.var_samp), ("n", F.count))])
-    va, vb = F.col("v0") / F.col("n0"), F.col("v1") / F.col("n1")
-    return s.select(((F.col("m0") - F.col("m1")) / F.sqrt(va + vb)).alias("statistic"), ((va + vb) ** 2 / (va**2 / (F.col("n0") - 1) + vb**2 / (F.col("n1") - 1))).alias("df"), F.col("m0").alias("mean_a"), F.col("m1").alias("mean_b"))
+    va, vb = F.try_divide(F.col("v0"), F.col("n0")), F.try_divide(F.col("v1"), F.col("n1"))
+    freedom = F.try_divide((va + vb) ** 2, F.try_divide(va**2, F.col("n0") - 1) + F.try_divide(vb**2, F.col("n1") - 1))
+    return s.select(F.try_divide(F.col("m0") - F.col("m1"), F.sqrt(va + vb)).alias("statistic"), freedom.alias("df"), F.col("m0").alias("mean_a"), F.col("m1").alias("mean_b"))
 
 
 def anova(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One-way: (statistic, df_between, df_within)."""
-    g = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(group).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"), F.count(value).alias("n"))
-    s = g.agg(F.sum(F.col("n")).alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"), (F.sum(F.col("n") * F.col("m") ** 2) - F.sum(F.col("n") * F.col("m")) ** 2 / F.sum("n")).alias("between"))
-    return s.select((F.col("between") / (F.col("k") - 1) / (F.col("within") / (F.col("n") - F.col("k")))).alias("statistic"), (F.col("k") - 1).alias("df_between"), (F.col("n") - F.col("k")).alias("df_within"))
+    """One-way: (statistic, df_between, df_within), from deviations of the groups' means from the grand mean. With one
+    group, or no variance within, the statistic is NULL."""
+    rows = df.where(col(value).isNotNull() & col(group).isNotNull())
+    g = rows.groupBy(col(group)).agg(F.avg(col(value)).alias("m"), F.var_pop(col(value)).alias("v"), F.count(F.lit(1)).alias("n"))
+    mean = rows.agg(F.avg(col(value)).alias("grand"))
+    s = g.crossJoin(F.broadcast(mean)).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"), F.sum(F.col("n") * F.col("v")).alias("within"), F.sum(F.col("n") * (F.col("m") - F.col("grand")) ** 2).alias("between"))
+    a, b = F.col("k") - 1, F.col("n") - F.col("k")
+    return s.select(F.try_divide(F.try_divide(F.col("between"), a), F.try_divide(F.col("within"), b)).alias("statistic"), a.alias("df_between"), b.alias("df_within"))
 
 
 def p_values(tests: DataFrame, kind: str) -> DataFrame:
@@ -51,20 +64,20 @@ def p_values(tests: DataFrame, kind: str) -> DataFrame:
 
     cols, f = {"chi_squared": (("df",), P.p_chi_squared), "t": (("df",), P.p_t), "f": (("df_between", "df_within"), P.p_f)}[kind]
 
-    @F.udf("double")
+    @F.arrow_udf("double")
     def p(statistic, *df):
-        if statistic is None or statistic != statistic or any(d is None or not d > 0 for d in df):
-            return None
-        return float(f(statistic, *df))
+        import pyarrow as pa
+
+        rows = zip(statistic.to_pylist(), *[d.to_pylist() for d in df], strict=True)
+        return pa.array([None if x is None or x != x or any(d is None or not d > 0 for d in ds) else float(f(x, *ds)) for x, *ds in rows], pa.float64())
 
     return tests.withColumn("p_value", p("statistic", *cols))
 
 
 def cramers_v(df: DataFrame, a: str, b: str) -> DataFrame:
     """(cramers_v, statistic, n) of two columns' association; NULL if either has one value."""
-    r = F.least(F.count_distinct(a), F.count_distinct(b)) - 1
-    k = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).agg(r.alias("k"))
-    return chi_squared(df, a, b).crossJoin(F.broadcast(k)).select(F.sqrt(F.try_divide(F.col("statistic"), F.col("n") * F.col("k"))).alias("cramers_v"), "statistic", "n")
+    least = F.least("r", "c") - 1
+    return _chi_squared(df, a, b).select(F.sqrt(F.try_divide(F.col("statistic"), F.col("n") * least)).alias("cramers_v"), "statistic", "n")
 
 
 def roc_points(df: DataFrame, score: str, positive: str) -> DataFrame:
@@ -80,16 +93,23 @@ def confusion(df: DataFrame, actual: str, predicted: str) -> DataFrame:
     a, p = F.col(actual), F.col(predicted)
     c = df.agg(F.count_if(a & p).alias("tp"), F.count_if(~a & p).alias("fp"), F.count_if(a & ~p).alias("fn"), F.count_if(~a & ~p).alias("tn"))
     pr, re = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
-    return c.select("*", pr.alias("precision"), re.alias("recall"), F.try_divide(2 * pr * re, pr + re).alias("f1"), ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn"))).alias("accuracy"))
+    return c.select("*", pr.alias("precision"), re.alias("recall"), F.try_divide(2 * pr * re, pr + re).alias("f1"), F.try_divide(F.col("tp") + F.col("tn"), F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("accuracy"))
 
 
 def kaplan_meier(df: DataFrame, time: str, event: str, keys: list[str]) -> DataFrame:
-    """(keys, time, n_risk, n_event, estimate). Rows are first counted by time; a group's window holds its distinct times."""
-    by = df.groupBy(*keys, time).agg(F.count(F.lit(1)).alias("m"), F.sum(F.col(event).cast("int")).alias("n_event"))
-    w = Window.partitionBy(*keys).orderBy(time)
-    risk = F.sum("m").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    r = by.withColumn("n_risk", risk)
-    return r.select(*keys, time, "n_risk", "n_event", F.product(1 - F.col("n_event") / F.col("n_risk")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("estimate"))
+    """(keys, time, n_risk, n_event, estimate). Rows are first counted by time. Without keys, numbers at risk and the
+    estimate's logarithm run over ranges of the times; with keys a group's window holds its distinct times."""
+    by = df.where(col(time).isNotNull()).groupBy(*map(col, keys), col(time)).agg(F.count(F.lit(1)).alias("m"), F.coalesce(F.sum(col(event).cast("int")), F.lit(0)).alias("n_event"))
+    if not keys:
+        numeric = by.withColumn("__time", col(time).cast("double"))
+        risk = running_sums(numeric, "__time", {"m": "__later"}, descending=True).withColumn("n_risk", F.col("m") + F.col("__later"))
+        step = F.when(F.col("n_event") < F.col("n_risk"), F.log1p(-F.col("n_event") / F.col("n_risk"))).otherwise(0.0)
+        logs = running_sums(risk.withColumn("__log", step).withColumn("__end", (F.col("n_event") >= F.col("n_risk")).cast("int")), "__time", {"__log": "__sum", "__end": "__ended"})
+        ended = F.col("__ended") + F.col("__end") > 0
+        return logs.select(col(time), "n_risk", "n_event", F.when(ended, 0.0).otherwise(F.exp(F.col("__sum") + F.col("__log"))).alias("estimate"))
+    w = Window.partitionBy(*map(col, keys)).orderBy(col(time))
+    r = by.withColumn("n_risk", F.sum("m").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
+    return r.select(*map(col, keys), col(time), "n_risk", "n_event", F.product(1 - F.col("n_event") / F.col("n_risk")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("estimate"))
 
 
 def association_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01, min_confidence: float = 0.1) -> DataFrame:
@@ -112,11 +132,11 @@ def cohens_d(m1: float, m2: float, s1: float, s2: float, n1: int, n2: int) -> fl
 
 
 def cosine_similarity(df: DataFrame, subject: str, key: str, value: str, max_subjects_per_key: int = 2000) -> DataFrame:
-    """(x, y, similarity) of subjects that share a key, each pair once. A key of over ``max_subjects_per_key`` subjects is an
+    """(x, y, similarity) of subjects that share a key (NULL with a subject of only zeros), each pair once. A key of over ``max_subjects_per_key`` subjects is an
     error: its pairs would be all pairs."""
     v = df.groupBy(subject, key).agg(F.sum(value).alias("v"))
     norm = v.groupBy(subject).agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
-    unit = v.join(norm, subject).select(subject, key, (F.col("v") / F.col("norm")).alias("u"))
+    unit = v.join(norm, subject).select(subject, key, F.try_divide(F.col("v"), F.col("norm")).alias("u"))
     lists = unit.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(subject).alias("s"), "u"))).alias("l"))
     lists = lists.where(F.when(F.size("l") > max_subjects_per_key, F.raise_error(F.lit("a key has too many subjects")).cast("boolean")).otherwise(True))
     pairs = lists.select("l", F.explode("l").alias("a")).select("a", F.explode("l").alias("b")).where("a.s < b.s")

@@ -79,24 +79,26 @@ for _m, _sql in (("euclidean", "sqrt(sum((x - y) ** 2))"), ("manhattan", "sum(ab
         return _rounded(M.dist_cols(t.lineitem, ["l_quantity", "l_discount", "l_tax"], method), 6, "value")
 
 
-_B = "WITH i AS (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS (SELECT count(DISTINCT b) AS n FROM i)"
+_B = "WITH i AS MATERIALIZED (SELECT DISTINCT l_orderkey AS b, p_brand AS i FROM lineitem JOIN part ON l_partkey = p_partkey), n AS MATERIALIZED (SELECT count(DISTINCT b) AS n FROM i)"
 
 
 def _brands(t):
     return t.lineitem.join(t.part, C("l_partkey") == C("p_partkey")).select("l_orderkey", "p_brand")
 
 
-_SETS = """s AS (SELECT i AS items, count(*) AS freq FROM i GROUP BY 1 UNION ALL SELECT x.i || ', ' || y.i, count(*) FROM i x JOIN i y ON x.b = y.b AND x.i < y.i GROUP BY 1
-UNION ALL SELECT x.i || ', ' || y.i || ', ' || z.i, count(*) FROM i x JOIN i y ON x.b = y.b AND x.i < y.i JOIN i z ON x.b = z.b AND y.i < z.i GROUP BY 1)"""
+_SETS = """a AS MATERIALIZED (SELECT i, count(*) AS freq FROM i GROUP BY i HAVING count(*) >= (SELECT ceil(0.01 * n) FROM n)),
+j AS MATERIALIZED (SELECT b, i.i FROM i JOIN a ON i.i = a.i), two AS MATERIALIZED (SELECT x.i AS p, y.i AS q, count(*) AS freq FROM j x JOIN j y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= (SELECT ceil(0.01 * n) FROM n)),
+pb AS MATERIALIZED (SELECT x.b, p, q FROM j x JOIN two ON x.i = p JOIN j y ON y.b = x.b AND y.i = q),
+three AS MATERIALIZED (SELECT p, q, j.i AS r, count(*) AS freq FROM pb JOIN j ON pb.b = j.b AND j.i > q GROUP BY 1, 2, 3 HAVING count(*) >= (SELECT ceil(0.01 * n) FROM n)),
+s AS MATERIALIZED (SELECT i AS items, freq FROM a UNION ALL SELECT p || ', ' || q, freq FROM two UNION ALL SELECT p || ', ' || q || ', ' || r, freq FROM three)"""
 
 
-@query("apriori_itemsets", f"{_B}, {_SETS} SELECT items, freq FROM s, n WHERE freq >= ceil(0.01 * n)")
+@query("apriori_itemsets", f"{_B}, {_SETS} SELECT items, freq FROM s")
 def _(t):
     return M.apriori(_brands(t), "l_orderkey", "p_brand", 0.01, 0.1)[0]
 
 
-@query("apriori_rules", f"""{_B}, {_SETS}, p AS (SELECT x.i AS lhs, y.i AS rhs, count(*) AS f FROM i x JOIN i y ON x.b = y.b AND x.i <> y.i GROUP BY 1, 2
-UNION ALL SELECT x.i || ', ' || y.i, z.i, count(*) FROM i x JOIN i y ON x.b = y.b AND x.i < y.i JOIN i z ON x.b = z.b AND z.i <> x.i AND z.i <> y.i GROUP BY 1, 2)
-SELECT lhs, rhs, round(f / n, 8) AS support, round(f / l.freq, 8) AS confidence, round(f * n / (l.freq * r.freq), 8) AS lift FROM p JOIN s l ON lhs = l.items JOIN s r ON rhs = r.items, n WHERE f >= ceil(0.01 * n) AND f / l.freq >= 0.1""")
+@query("apriori_rules", f"""{_B}, {_SETS}, p AS (SELECT p AS lhs, q AS rhs, freq AS f FROM two UNION ALL SELECT q, p, freq FROM two UNION ALL SELECT p || ', ' || q, r, freq FROM three UNION ALL SELECT p || ', ' || r, q, freq FROM three UNION ALL SELECT q || ', ' || r, p, freq FROM three)
+SELECT lhs, rhs, round(f / n, 8) AS support, round(f / l.freq, 8) AS confidence, round(f * n / (l.freq * r.freq), 8) AS lift FROM p JOIN s l ON lhs = l.items JOIN s r ON rhs = r.items, n WHERE f / l.freq >= 0.1""")
 def _(t):
     return _rounded(M.apriori(_brands(t), "l_orderkey", "p_brand", 0.01, 0.1)[1], 8, "support", "confidence", "lift")

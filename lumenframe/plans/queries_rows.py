@@ -231,7 +231,7 @@ def _(t):
     return S.welch_t(t.lineitem, "l_quantity", "l_returnflag", "A", "R").select(F.round("statistic", 6).alias("statistic"), F.round("df", 4).alias("df"), F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"))
 
 
-@query("anova", """WITH g AS (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY l_returnflag), s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * v) AS w, sum(n * m * m) - sum(n * m) ** 2 / sum(n) AS b FROM g)
+@query("anova", """WITH g AS (SELECT avg(l_quantity) AS m, var_pop(l_quantity) AS v, count(*) AS n FROM lineitem GROUP BY l_returnflag), s AS (SELECT sum(n) AS n, count(*) AS k, sum(n * v) AS w, sum(n * (m - (SELECT avg(l_quantity) FROM lineitem)) ** 2) AS b FROM g)
 SELECT round(b / (k - 1) / (w / (n - k)), 5) AS statistic, k - 1 AS df_between, (n - k)::BIGINT AS df_within FROM s""")
 def _(t):
     return S.anova(t.lineitem, "l_quantity", "l_returnflag").withColumn("statistic", F.round("statistic", 5))

@@ -7,15 +7,43 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import col
+
 
 def read_delimited(spark: SparkSession, path: str | list[str], sep: str = ",", header: bool = True, skip: int = 0, encoding: str = "UTF-8", na: str = "", quote: str = '"') -> DataFrame:
-    """Delimited text; ``skip`` leading lines of each file are left out before the header is read."""
+    """Delimited text; ``skip`` leading lines of each file are left out before the header is read. With ``skip`` a file is
+    one row's text while it is parsed (files with such preambles are small), whatever the encoding."""
     if not skip:
         return spark.read.csv(path, sep=sep, header=header, inferSchema=True, encoding=encoding, nullValue=na, quote=quote, multiLine=False)
-    lines = spark.read.text(path).withColumn("f", F.input_file_name()).withColumn("n", F.monotonically_increasing_id())
-    first = lines.groupBy("f").agg(F.min("n").alias("m"))
-    kept = lines.join(first, "f").where(F.col("n") - F.col("m") >= skip).sort("f", "n").select("value")
-    return spark.read.csv(kept.rdd.map(lambda r: r[0]), sep=sep, header=header, inferSchema=True, nullValue=na, quote=quote)
+    text = F.decode("content", encoding)
+    lines = F.filter(F.split(text, r"\r?\n"), lambda x, i: (i >= skip) & (x != ""))
+    files = spark.read.format("binaryFile").load(path).select(lines.alias("lines"))
+    heads = files.select(F.get("lines", F.lit(0)).alias("h")).where("h is not null").limit(1).collect()
+    if not heads:
+        return spark.createDataFrame([], "")
+    options = {"sep": sep, "quote": quote, "nullValue": na}
+    first = spark.read.csv(spark.sparkContext.parallelize([heads[0]["h"]], 1), **{k: v for k, v in options.items() if k != "nullValue"}).first()
+    names = [str(v) for v in first] if header else [f"_c{i}" for i in range(len(first))]
+    body = files.select(F.explode(F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0))) if header else F.col("lines")).alias("line"))
+    parsed = body.select(F.from_csv("line", _ddl(names), options).alias("r")).select("r.*")
+    return typed(parsed)
+
+
+def _ddl(names: list[str]) -> str:
+    return ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """Text columns by what all their values are: long, double, boolean, date or timestamp, else text. One aggregate."""
+    texts = [c for c, t in df.dtypes if t == "string"]
+    kinds = ("bigint", "double", "boolean", "date", "timestamp")
+    if not texts:
+        return df
+    blank = lambda c: F.trim(col(c)) == ""
+    bad = df.agg(*[F.count_if(~blank(c) & F.expr(f"try_cast(trim(`{c.replace('`', '``')}`) as {k})").isNull()).alias(f"b{i}_{k}") for i, c in enumerate(texts) for k in kinds],
+                 *[F.count_if(~blank(c)).alias(f"n{i}") for i, c in enumerate(texts)]).first()
+    kind = {c: next((k for k in kinds if bad[f"n{i}"] and bad[f"b{i}_{k}"] == 0), None) for i, c in enumerate(texts)}
+    return df.select(*[F.expr(f"try_cast(nullif(trim(`{c.replace('`', '``')}`), '') as {kind[c]})").alias(c) if kind.get(c) else col(c) for c in df.columns])
 
 
 def read_parquet(spark: SparkSession, path: str | list[str], columns: list[str] | None = None) -> DataFrame:
@@ -57,8 +85,9 @@ def with_file_name(df: DataFrame, column: str = "file_name") -> DataFrame:
 
 
 def glob_to_regex(pattern: str) -> str:
-    out = re.escape(pattern).replace(r"\*", ".*").replace(r"\?", ".")
-    return f"^{out}$"
+    """A file name pattern, or several with ``|`` between, as a regular expression of the whole name."""
+    parts = [re.escape(p).replace(r"\*", ".*").replace(r"\?", ".") for p in pattern.split("|")]
+    return "^" + (parts[0] if len(parts) == 1 else f"(?:{'|'.join(parts)})") + "$"
 
 
 def sql_literal(value) -> str:
