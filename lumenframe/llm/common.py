@@ -34,17 +34,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/lumenframe/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: lineage ends here, and a lost executor
-    costs a re-read, not a recomputation."""
+    costs a re-read, not a recomputation. ``files``: at most so many, for tables known to be small beside the number of
+    shuffle partitions, which would else give a file each."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._lumenframe_path = path
     return out
 
 
+def files_for(spark: SparkSession, rows: int, rows_per_file: int) -> int:
+    """How many files a table of ``rows`` takes: as many as there are cores, or one for each ``rows_per_file``."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // rows_per_file))
+
+
 def release(df: DataFrame) -> None:
     """Delete a table made by :func:`written` that no later plan reads."""
     path = getattr(df, "_lumenframe_path", None)

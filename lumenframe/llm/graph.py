@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, written
+from .common import files_for, release, written
+
+ROWS_PER_FILE = 250_000
 
 
 def _least(pairs: DataFrame) -> DataFrame:
-    return written(pairs.groupBy("u").agg(F.min("v").alias("m")), "cc-min")
+    return pairs.groupBy("u").agg(F.min("v").alias("m"))
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -24,23 +26,18 @@ def _mark(edges: DataFrame) -> tuple:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root): root is the smallest node of the component. ``edges`` has columns (u, v); self-loops, repeats and
     nulls are ignored; nodes without an edge do not appear."""
+    spark = edges.sparkSession
     e = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc-edges")
     mark = _mark(e)
     for _ in range(max_rounds):
         if not mark[0]:
             break
+        files = files_for(spark, mark[0], ROWS_PER_FILE)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = _least(both)
-        large = written(
-            both.where("v > u").join(m, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct(), "cc-large"
-        )
-        release(m)
-        m = _least(large)
-        hop = large.join(m, "u")
-        small = written(
-            hop.select("u", F.col("m").alias("v")).unionByName(hop.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct(), "cc-small"
-        )
-        release(m)
+        large = both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).where("u <> v").distinct()
+        large = written(large, "cc-large", files)
+        hop = large.join(_least(large), "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("p"))
+        small = written(hop.select("p.u", "p.v").where("u <> v").distinct(), "cc-small", files)
         release(large)
         release(e)
         e, before = small, mark
