@@ -238,13 +238,14 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = 0, id_col: str
 
 
 def _all_ids(blobs, wide):
-    """The ids of a column of blobs, of the narrow ones and of the wide ones."""
+    """The ids of a binary array without nulls, of the narrow ones and of the wide ones, straight from its buffer."""
     import pyarrow.compute as pc
 
     for w, kind in ((False, "<u2"), (True, "<u4")):
         mine = blobs.filter(pc.equal(wide, w))
         if len(mine):
-            yield np.frombuffer(b"".join(mine.to_pylist()), kind)
+            ends = np.frombuffer(mine.buffers()[1], np.int32)[mine.offset : mine.offset + len(mine) + 1]
+            yield np.frombuffer(mine.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
 
 def _coded(ids: np.ndarray, counts: np.ndarray) -> list[bytes]:
@@ -277,22 +278,27 @@ def _joined(coded: list[bytes], counts: np.ndarray) -> tuple[bytes, bytes]:
     return control.tobytes(), b"".join([c[r:] for c, r in zip(coded, room.tolist(), strict=True)])
 
 
-def frequency_ranks(tokens: DataFrame) -> np.ndarray:
-    """Ids by rank: the most frequent first, ties by id. One number for each id of the vocabulary reaches the driver."""
+def frequency_ranks(sources: DataFrame) -> np.ndarray:
+    """Ids by rank: the most frequent first, ties by id. ``sources``: paths of the tokens' files. One number for each id
+    of the vocabulary reaches the driver."""
 
     def count(batches):
         import pyarrow as pa
+        import pyarrow.parquet as pq
 
         total = np.zeros(0, np.int64)
-        for b in batches:
-            for ids in _all_ids(b.column(1), b.column(0)):
-                c = np.bincount(ids, minlength=len(total))
-                c[: len(total)] += total
-                total = c
+        for source in (x for b in batches for x in b.column(0).to_pylist()):
+            fs, path = _open(source)
+            with fs.open_input_file(path) as stream:
+                for b in pq.ParquetFile(stream).iter_batches(READ_ROWS, columns=["wide", "ids"]):
+                    for ids in _all_ids(b.column("ids"), b.column("wide")):
+                        c = np.bincount(ids, minlength=len(total))
+                        c[: len(total)] += total
+                        total = c
         at = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["id", "n"])
 
-    rows = tokens.select("wide", "ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = sources.select("source").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     return np.array([r["id"] for r in sorted(rows, key=lambda r: (-r["n"], r["id"]))], np.uint32)
 
 
@@ -310,7 +316,9 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // FILE_BYTES)
     coded = tokenized(docs, tokenizer_path, end_id, id_col, text_col, bounds=order_bounds(docs, parts, id_col, text_col))
     tokens = written(coded.repartitionById(parts, F.col("part")).sortWithinPartitions("id", "tie").select("id", "n", "wide", "ids"), "tokens")
-    ranks = frequency_ranks(tokens)
+    sources = sorted(tokens.inputFiles(), key=lambda f: (int(re.search(r"part-(\d+)-", f)[1]), f))
+    table = spark.createDataFrame(list(enumerate(sources)), "pid int, source string").repartitionById(max(1, len(sources)), F.col("pid"))
+    ranks = frequency_ranks(table)
     lookup = np.zeros(int(ranks.max()) + 1 if len(ranks) else 1, np.uint32)
     lookup[ranks] = np.arange(len(ranks), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(lookup)
@@ -362,8 +370,6 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str | None = N
             if docs_n:
                 yield pa.RecordBatch.from_arrays([pa.array([pid], pa.int64()), pa.array([name]), pa.array([docs_n], pa.int64()), pa.array([ids_n], pa.int64())], names=["pid", "name", "docs", "ids"])
 
-    sources = sorted(tokens.inputFiles(), key=lambda f: (int(re.search(r"part-(\d+)-", f)[1]), f))
-    table = spark.createDataFrame(list(enumerate(sources)), "pid int, source string").repartitionById(max(1, len(sources)), F.col("pid"))
     files = table.mapInArrow(write, "pid long, name string, docs long, ids long").collect()
     release(tokens)
     fs, folder = _open(path)
