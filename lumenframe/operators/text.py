@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import col
+
 
 def do_tokenize(df: DataFrame, text: str, doc: str, to_lower: bool = True, pattern: str = r"[\p{L}\p{Nd}]+") -> DataFrame:
     """(doc, position, token)."""
@@ -21,15 +23,17 @@ def do_ngram(df: DataFrame, text: str, doc: str, n: int = 2, sep: str = "_", pat
 
 
 def term_counts(tokens: DataFrame, doc: str, term: str = "token") -> DataFrame:
-    return tokens.groupBy(doc, term).agg(F.count(F.lit(1)).alias("n"))
+    return tokens.groupBy(col(doc), col(term)).agg(F.count(F.lit(1)).alias("n"))
 
 
 def do_tfidf(tokens: DataFrame, doc: str, term: str = "token") -> DataFrame:
-    """(doc, term, n, df, tfidf): (1 + log10 n) * log10(documents / df)."""
+    """(doc, term, n, df, tfidf): (1 + log10 n) * log10(documents / df). Document frequencies and the number of documents
+    are taken of the term counts with n in use, so all three read one shuffle of them and texts are tokenized once."""
     tf = term_counts(tokens, doc, term)
-    idf = tf.groupBy(term).agg(F.count(F.lit(1)).alias("df"))
-    docs = tf.agg(F.count_distinct(doc).alias("__docs"))
-    return tf.join(idf, term).crossJoin(F.broadcast(docs)).select(doc, term, "n", "df", ((1 + F.log10("n")) * F.log10(F.col("__docs") / F.col("df"))).alias("tfidf"))
+    held = F.col("n") > 0
+    idf = tf.groupBy(col(term)).agg(F.count_if(held).alias("df"))
+    docs = tf.agg(F.count_distinct(F.when(held, col(doc))).alias("__docs"))
+    return tf.join(idf, term).crossJoin(F.broadcast(docs)).select(col(doc), col(term), "n", "df", ((1 + F.log10("n")) * F.log10(F.col("__docs") / F.col("df"))).alias("tfidf"))
 
 
 def pair_count(df: DataFrame, group: str, value: str, distinct: bool = True, diag: bool = False, max_values: int = 5000) -> DataFrame:
