@@ -100,9 +100,10 @@ def read_excel(spark: SparkSession, path: str | list[str], sheet: int | str = 1,
     """(file_name, row_number, columns as text) of a sheet of each workbook of ``path``; cast what is not text. Column names
     come from the first file in order of path; empty or repeated ones get their position. Cells beyond them are an error."""
     files = spark.read.format("binaryFile").load(path)
-    first = files.orderBy("path").select("content").first()
-    if first is None:
+    least = files.agg(F.min("path")).first()[0]  # paths alone are read for this
+    if least is None:
         return spark.createDataFrame([], "file_name string, row_number long")
+    first = files.where(F.col("path") == least).select("content").first()
     rows = sheet_rows(bytes(first["content"]), sheet)
     head: list = []
     if header:
@@ -140,3 +141,28 @@ def read_excel(spark: SparkSession, path: str | list[str], sheet: int | str = 1,
 
     got = files.select("path", "content").mapInPandas(parse, "file_name string, row_number long, v array<string>")
     return got.select("file_name", "row_number", *[F.col("v")[i].alias(n) for i, n in enumerate(names)])
+
+
+def sheet_names(content: bytes) -> list[str]:
+    """The names of a workbook's sheets in order."""
+    import io
+    import zipfile
+    from xml.etree import ElementTree
+
+    with zipfile.ZipFile(io.BytesIO(content)) as z, z.open("xl/workbook.xml") as f:
+        return [e.get("name") for e in ElementTree.parse(f).iter() if e.tag.endswith("}sheet")]
+
+
+def excel_sheets(spark: SparkSession, path: str) -> list[str]:
+    """The sheets of one workbook."""
+    one = spark.read.format("binaryFile").load(path).select("content").first()
+    return sheet_names(bytes(one["content"])) if one else []
+
+
+def read_excel_sheets(spark: SparkSession, path: str, sheets: list[str] | None = None, **options) -> DataFrame:
+    """Several sheets of a workbook (all by default) in one table by column name, with ``sheet_name``."""
+    out = None
+    for name in sheets or excel_sheets(spark, path):
+        one = read_excel(spark, path, name, **options).withColumn("sheet_name", F.lit(name))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return spark.createDataFrame([], "sheet_name string") if out is None else out

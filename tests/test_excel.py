@@ -41,3 +41,14 @@ def test_cells_beyond_the_header_are_an_error(spark, tmp_path):
     book(tmp_path / "1.xlsx", HEAD + '<row r="2"><c r="F2"><v>1</v></c></row>', ["<t>a</t>", "<t>b</t>"])
     with pytest.raises(Exception, match="beyond the 4 named columns"):
         read_excel(spark, str(tmp_path / "1.xlsx"), "Data").collect()
+
+
+def test_sheets(spark, tmp_path):
+    from lumenframe.sources.excel import excel_sheets, read_excel_sheets
+
+    book(tmp_path / "s.xlsx", HEAD + '<row r="2"><c r="A2" t="inlineStr"><is><t>v</t></is></c></row>', ["<t>a</t>", "<t>b</t>"])
+    path = str(tmp_path / "s.xlsx")
+    assert excel_sheets(spark, path) == ["Empty", "Data"]
+    got = read_excel_sheets(spark, path, ["Data"]).collect()
+    assert [(r["sheet_name"], r["a"]) for r in got] == [("Data", "v")]
+    assert read_excel_sheets(spark, path).count() == 1
