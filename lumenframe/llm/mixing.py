@@ -144,7 +144,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
                 names=[*[f"c{i}" for i in range(len(names))], "size", "source_size", "target", "copies", "taken"],
             )
 
-    dealt = base.join(F.broadcast(buckets), "key", "left").select(*[f"c{i}" for i in range(len(names))], "key", "size", F.pmod("deal", F.coalesce("buckets", F.lit(1))).alias("deal")).repartition("key", "deal").sortWithinPartitions("deal", "key", F.desc("size"), *[f"c{i}" for i, c in enumerate(names) if docs.schema[c].dataType.simpleString() in ("bigint", "int", "string")])
+    hashed = [F.col(f"c{i}") for i, c in enumerate(names) if "map<" not in docs.schema[c].dataType.simpleString()]  # equal sizes: by all columns
+    dealt = base.join(F.broadcast(buckets), "key", "left").select(
+        *[f"c{i}" for i in range(len(names))], "key", "size", F.pmod("deal", F.coalesce("buckets", F.lit(1))).alias("deal"), (F.xxhash64(*hashed) if hashed else F.lit(0)).alias("tie"),
+    ).repartition("key", "deal").sortWithinPartitions("deal", "key", F.desc("size"), "tie")
     kinds = [T.StructField(f"c{i}", docs.schema[c].dataType) for i, c in enumerate(names)]
     schema = T.StructType(kinds + [T.StructField(c, T.DoubleType() if c == "target" else T.LongType()) for c in ("size", "source_size", "target", "copies", "taken")])
     out = dealt.mapInArrow(copies, schema)
