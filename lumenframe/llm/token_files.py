@@ -138,12 +138,12 @@ class PieceEncoder:
         import pyarrow.compute as pc
 
         plain = [p for p in new if p and not p[-1].isspace() and not p[0].isspace() and (p[0] != "\x00" or (len(p) > 2 and not p[2].isspace()))]
-        for i in range(0, len(plain), 1000):  # many in one call; the tokens' lengths in bytes tell where each ends
-            some = plain[i : i + 1000]
-            text = [p[1:] if p[0] == "\x00" else " " + p for p in some]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(text)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(pa.array(text)).to_numpy(), dtype=np.int64)) + 1
-            self._add(some, ids, np.diff(ends, prepend=0))
+        text = [p[1:] if p[0] == "\x00" else " " + p for p in plain]
+        for i in range(0, len(plain), 30_000):
+            some = text[i : i + 30_000]  # many in one call, few in one text; the tokens' lengths in bytes tell where each ends
+            ids, _ = self.each(["".join(some[j : j + 150]) for j in range(0, len(some), 150)])
+            ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(pc.binary_length(pa.array(some)).to_numpy(), dtype=np.int64)) + 1
+            self._add(plain[i : i + 30_000], ids, np.diff(ends, prepend=0))
         if len(plain) < len(new):
             odd = [p for p in new if p not in self.index]
             self._add(odd, *self.each([_surface(p) for p in odd]))
@@ -161,7 +161,7 @@ class PieceEncoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         bounds -= bounds[0]
         encoded = parts.flatten().dictionary_encode()
-        piece = self._known(encoded.dictionary.to_pylist())[encoded.indices.to_numpy()]
+        piece = self._known(encoded.dictionary.to_numpy(zero_copy_only=False).tolist())[encoded.indices.to_numpy()]
         size = self.size[piece]
         size[bounds[:-1]] = 0  # the first piece has no space before it
         heads = pc.if_else(pa.array(whole), texts, pc.list_element(parts, 0)).to_pylist()
