@@ -168,3 +168,44 @@ def cohens_w(chi_squared: Column, n: Column) -> Column:
 
 def epsilon_squared(h: Column, n: Column) -> Column:
     return _d(h, n - 1)
+
+
+def survival_roc(df: DataFrame, score: str, time: str, event: str, at: float) -> DataFrame:
+    """(score, tp, fp) of those dead by the time ``at`` (an event at ``at`` counts); rows censored before it take no part."""
+    from .stats import roc_points
+
+    t, dead = col(time), col(event).cast("boolean")
+    rows = df.where(~((t < at) & ~dead)).select(col(score).alias("score"), ((t < at) | ((t == at) & dead)).alias("dead"))
+    return roc_points(rows.where("dead is not null"), "score", "dead")
+
+
+def binned_actual(df: DataFrame, target: str, variable: str, bins: int = 20, level: float = 1.959963984540054) -> DataFrame:
+    """(x, actual, conf_low, conf_high, n): mean of a numeric or boolean target in ``bins`` equal-width bins of a numeric
+    variable, or by the values of any other, with normal confidence limits (NULL for a mean of one row). Two passes."""
+    types = dict(df.dtypes)
+    y, v = col(target), col(variable)
+    flag = types[target] == "boolean"
+    d = df.where(y.isNotNull() & v.isNotNull()).select(y.cast("double").alias("y"), v.alias("v"))
+    if types[variable] in ("string", "boolean"):
+        d = d.select("y", F.col("v").cast("string").alias("g"), F.col("v").cast("string").alias("v"))
+        x = F.first("v")
+    else:
+        d = d.withColumn("v", F.col("v").cast("double"))
+        s = d.agg(F.min("v").alias("a"), F.max("v").alias("b")).first()
+        width = ((s["b"] - s["a"]) / bins if s["a"] is not None else 0) or 1.0
+        # bins are closed above, as cuts are; the least value is in the first
+        d = d.withColumn("g", F.greatest(F.ceil((F.col("v") - F.lit(s["a"] or 0.0)) / width).cast("int"), F.lit(1)))
+        x = F.avg("v")
+    n, m = F.count(F.lit(1)), F.avg("y")
+    radius = level * (F.sqrt(m * (1 - m) / n) if flag else _d(F.stddev_samp("y"), F.sqrt(n)))
+    return d.groupBy("g").agg(x.alias("x"), m.alias("actual"), (m - radius).alias("conf_low"), (m + radius).alias("conf_high"), n.alias("n")).drop("g")
+
+
+def firm_importance(curves: DataFrame, variable: str, prediction: str, weight: str, numeric: str) -> DataFrame:
+    """(variable, importance) of partial dependence curves: the standard deviation of predictions, each counted ``weight``
+    times, for a numeric variable, a quarter of their range for another."""
+    w, p = col(weight), col(prediction)
+    w = F.when(p.isNotNull(), w)
+    n, mean = F.sum(w), F.sum(w * p) / F.sum(w)
+    sd = F.sqrt(F.greatest(_d(F.sum(w * p * p) - n * mean * mean, n - 1), F.lit(0.0)))
+    return curves.groupBy(col(variable).alias("variable")).agg(F.when(F.bool_and(col(numeric)), sd).otherwise((F.max(p) - F.min(p)) / 4).alias("importance"))

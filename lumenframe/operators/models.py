@@ -157,6 +157,114 @@ def tree(df: DataFrame, target: str, predictors: Sequence[str], trees: int = 1,
     return Tree(design, est.fit(design.rows(df, F.col(target)).select("features", label.alias("label"))), labels)
 
 
+def multinomial(df: DataFrame, target: str, predictors: Sequence[str], max_levels: int = 20, max_classes: int = 100) -> DataFrame:
+    """(class, term, estimate, odds_ratio) of a multinomial logit, each class against the least one."""
+    from pyspark.ml.classification import LogisticRegression
+
+    name = F.col(target).cast("string")
+    classes = [r[0] for r in df.where(name.isNotNull()).select(name).distinct().orderBy(name).limit(max_classes + 1).collect()]
+    if not 2 <= len(classes) <= max_classes:
+        raise ValueError(f"2 to {max_classes} classes")
+    design = Design.of(df.where(name.isNotNull()), predictors, max_levels)
+    label = F.array_position(F.array(*map(F.lit, classes)), name).cast("double") - 1
+    m = LogisticRegression(family="multinomial", standardization=True, tol=1e-12, maxIter=500).fit(design.rows(df, F.col(target)).select("features", label.alias("label")))
+    c = np.column_stack([m.interceptVector.toArray(), m.coefficientMatrix.toArray()])
+    rows = [(k, t, float(v), float(np.exp(v))) for k, own in zip(classes[1:], c[1:] - c[0], strict=True) for t, v in zip(["(Intercept)", *design.terms], own, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "class string, term string, estimate double, odds_ratio double")
+
+
+def boosted(df: DataFrame, target: str, predictors: Sequence[str], rounds: int = 10, max_depth: int = 5, step: float = 0.3, max_levels: int = 20, seed: int = 1) -> Tree:
+    """Boosted trees for a numeric target or one of two classes; three or more classes are an error."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.regression import GBTRegressor
+
+    design = Design.of(df.where(F.col(target).isNotNull()), predictors, max_levels)
+    labels, label = None, F.col(target).cast("double")
+    if dict(df.dtypes)[target] in ("string", "boolean"):
+        name = F.col(target).cast("string")
+        labels = [r[0] for r in df.where(name.isNotNull()).select(name).distinct().orderBy(name).limit(3).collect()]
+        if len(labels) != 2:
+            raise ValueError("not two classes")
+        label = (name == labels[1]).cast("double")
+    est = (GBTRegressor if labels is None else GBTClassifier)(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=max_depth, stepSize=step, seed=seed)
+    return Tree(design, est.fit(design.rows(df, F.col(target)).select("features", label.alias("label"))), labels)
+
+
+def ordinal(df: DataFrame, target: str, order: Sequence[str], predictors: Sequence[str], max_levels: int = 20, rounds: int = 50) -> DataFrame:
+    """(term, estimate, odds_ratio, std_error, z) of a proportional-odds model of the ordered classes ``order``: thresholds
+    ("a|b") and slopes by Fisher scoring, each step one pass that adds a small matrix for each batch. Classes without
+    rows are left out; fewer than two are an error. Rows of other classes take no part."""
+    name = F.col(target).cast("string")
+    sizes = {r["k"]: r["n"] for r in df.where(name.isin(list(order))).groupBy(name.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    classes = [c for c in order if c in sizes]
+    if len(classes) < 2:
+        raise ValueError("fewer than two classes with rows")
+    design = Design.of(df.where(name.isin(classes)), predictors, max_levels)
+    y = F.array_position(F.array(*map(F.lit, classes)), name).cast("int") - 1
+    complete = F.lit(True)
+    for p in design.predictors:
+        complete = complete & F.col(p).isNotNull()
+    x = F.array(*design.columns) if design.columns else F.array().cast("array<double>")
+    data = df.where(name.isin(classes) & complete).select(y.alias("y"), x.alias("x"))
+    k, p = len(classes) - 1, len(design.terms)
+    below = np.cumsum([sizes[c] for c in classes])[:-1] / sum(sizes.values())
+    scale = np.ones(p)
+    if p:
+        s = data.select(*[F.col("x")[i].alias(f"x{i}") for i in range(p)]).agg(*[F.stddev_samp(f"x{i}") for i in range(p)]).first()
+        scale = np.array([v if v else 1.0 for v in s], float)
+
+    def sums(theta: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def run(batches):
+            import pyarrow as pa
+
+            for b in batches:
+                n = len(b)
+                yy, xx = b.column(0).to_numpy(), b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, p) / scale
+                eta = xx @ theta[k:]
+                f = np.concatenate([np.zeros((n, 1)), 1 / (1 + np.exp(-np.clip(theta[:k] - eta[:, None], -500, 500))), np.ones((n, 1))], 1)
+                slope = f * (1 - f)
+                prob = np.maximum(np.diff(f, axis=1), 1e-300)
+                info, grad, like = np.zeros((k + p, k + p)), np.zeros(k + p), float(np.log(prob[np.arange(n), yy]).sum())
+                for c in range(k + 1):
+                    d = np.zeros((n, k + p))
+                    if c < k:
+                        d[:, c] += slope[:, c + 1]
+                    if c:
+                        d[:, c - 1] -= slope[:, c]
+                    d[:, k:] = -(slope[:, c + 1] - slope[:, c])[:, None] * xx
+                    grad += (d[yy == c] / prob[yy == c, c][:, None]).sum(0)
+                    info += (d / prob[:, c][:, None]).T @ d
+                yield pa.RecordBatch.from_arrays([pa.array([[like, *grad, *info.ravel()]], pa.list_(pa.float64()))], names=["v"])
+
+        got = data.mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).collect()
+        v = np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
+        return v[0], v[1 : 1 + k + p], v[1 + k + p :].reshape(k + p, k + p)
+
+    theta = np.concatenate([np.log(below / (1 - below)), np.zeros(p)])
+    now, g, h = sums(theta)
+    for _ in range(rounds):
+        step = np.linalg.pinv(h) @ g
+        for _ in range(20):  # half steps while the likelihood falls or thresholds cross
+            new = theta + step
+            if (np.diff(new[:k]) > 0).all():
+                value, ng, nh = sums(new)
+                if value >= now - 1e-9 * abs(now):
+                    break
+            step = step / 2
+        else:
+            break
+        done = np.abs(step).max() < 1e-8
+        theta, now, g, h = new, value, ng, nh
+        if done:
+            break
+    unit = np.concatenate([np.ones(k), scale])
+    error = np.sqrt(np.maximum(np.diag(np.linalg.pinv(h)), 0)) / unit
+    theta = theta / unit
+    terms = [f"{a}|{b}" for a, b in zip(classes, classes[1:], strict=False)] + design.terms
+    rows = [(t, float(v), float(np.exp(v)) if i >= k else None, float(e), float(v / e) if e else None) for i, (t, v, e) in enumerate(zip(terms, theta, error, strict=True))]
+    return df.sparkSession.createDataFrame(rows, "term string, estimate double, odds_ratio double, std_error double, z double")
+
+
 def survival_regression(df: DataFrame, time: str, event: str, predictors: Sequence[str], max_levels: int = 20) -> DataFrame:
     """(term, estimate) of a Weibull accelerated failure time model; ``event`` is true where the end was seen."""
     from pyspark.ml.regression import AFTSurvivalRegression

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .pairs import group_pairs
 from .ranks import running_sums
 
 
@@ -131,13 +132,11 @@ def cohens_d(m1: float, m2: float, s1: float, s2: float, n1: int, n2: int) -> fl
     return (m1 - m2) / math.sqrt(((n1 - 1) * s1 * s1 + (n2 - 1) * s2 * s2) / (n1 + n2 - 2))
 
 
-def cosine_similarity(df: DataFrame, subject: str, key: str, value: str, max_subjects_per_key: int = 2000) -> DataFrame:
-    """(x, y, similarity) of subjects that share a key (NULL with a subject of only zeros), each pair once. A key of over ``max_subjects_per_key`` subjects is an
-    error: its pairs would be all pairs."""
-    v = df.groupBy(subject, key).agg(F.sum(value).alias("v"))
-    norm = v.groupBy(subject).agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
-    unit = v.join(norm, subject).select(subject, key, F.try_divide(F.col("v"), F.col("norm")).alias("u"))
-    lists = unit.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(subject).alias("s"), "u"))).alias("l"))
-    lists = lists.where(F.when(F.size("l") > max_subjects_per_key, F.raise_error(F.lit("a key has too many subjects")).cast("boolean")).otherwise(True))
-    pairs = lists.select("l", F.explode("l").alias("a")).select("a", F.explode("l").alias("b")).where("a.s < b.s")
-    return pairs.groupBy(F.col("a.s").alias("x"), F.col("b.s").alias("y")).agg(F.sum(F.col("a.u") * F.col("b.u")).alias("similarity"))
+def cosine_similarity(df: DataFrame, subject: str, key: str, value: str, block: int = 2048) -> DataFrame:
+    """(x, y, similarity) of subjects that share a key (NULL with a subject of only zeros), each pair once. A key of over
+    ``block`` subjects is paired block by block."""
+    v = df.groupBy(col(subject).alias("s"), col(key).alias("k")).agg(F.sum(col(value)).alias("v"))
+    norm = v.groupBy("s").agg(F.sqrt(F.sum(F.col("v") ** 2)).alias("norm"))
+    unit = v.join(norm, "s").select("s", "k", F.try_divide(F.col("v"), F.col("norm")).alias("u"))
+    pairs = group_pairs(unit, F.col("k"), F.struct("s", "u"), block).where("x.s < y.s")
+    return pairs.groupBy(F.col("x.s").alias("x"), F.col("y.s").alias("y")).agg(F.sum(F.col("x.u") * F.col("y.u")).alias("similarity"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col
+from .pairs import group_pairs
 
 
 def do_tokenize(df: DataFrame, text: str, doc: str, to_lower: bool = True, pattern: str = r"[\p{L}\p{Nd}]+") -> DataFrame:
@@ -36,13 +37,10 @@ def do_tfidf(tokens: DataFrame, doc: str, term: str = "token") -> DataFrame:
     return tf.join(idf, term).crossJoin(F.broadcast(docs)).select(col(doc), col(term), "n", "df", ((1 + F.log10("n")) * F.log10(F.col("__docs") / F.col("df"))).alias("tfidf"))
 
 
-def pair_count(df: DataFrame, group: str, value: str, distinct: bool = True, diag: bool = False, max_values: int = 5000) -> DataFrame:
-    """(value.x, value.y, n): groups that hold both. Pairs are made of a group's distinct values in its row; a group of over
-    ``max_values`` distinct values is an error, since its pairs would not fit."""
-    sets = df.where(F.col(value).isNotNull()).groupBy(group).agg(F.sort_array(F.collect_set(value)).alias("s"))
-    sets = sets.where(F.when(F.size("s") > max_values, F.raise_error(F.lit("a group has too many values")).cast("boolean")).otherwise(True))
-    a = sets.select("s", F.explode("s").alias("x"))
-    pairs = a.select("x", F.explode("s").alias("y"))
+def pair_count(df: DataFrame, group: str, value: str, distinct: bool = True, diag: bool = False, block: int = 2048) -> DataFrame:
+    """(value.x, value.y, n): groups that hold both. A group of over ``block`` distinct values is paired block by block."""
+    rows = df.where(col(value).isNotNull()).select(col(group).alias("g"), col(value).alias("v")).distinct()
+    pairs = group_pairs(rows, F.col("g"), F.col("v"), block)
     pairs = pairs.where("x < y" if distinct and not diag else "x <= y" if distinct else "x <> y" if not diag else "true")
     return pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).select(F.col("x").alias("value_x"), F.col("y").alias("value_y"), "n")
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_models, queries_ranks, queries_rows, queries_scalar, queries_summaries, queries_text, queries_verbs  # noqa: F401
+from . import queries_models, queries_multivariate, queries_ranks, queries_rows, queries_scalar, queries_summaries, queries_text, queries_verbs  # noqa: F401
 from .registry import QUERIES, SQL
 
 
