@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import chaid as H
 from ..operators import evaluation as E
 from ..operators import models as M
 from ..operators import multivariate as V
@@ -102,3 +103,23 @@ def _(t):
 f AS (SELECT sum(n * (m - grand) ** 2) / 2 / (sum(n * v) / (sum(n) - 3)) AS f, sum(n) - 3 AS d FROM g, t) SELECT round(f, 6) AS statistic, round((1 + 2 * f / d) ** (-d / 2), 8) AS p_value FROM f""")
 def _(t):
     return _rounded(_rounded(S.p_values(S.anova(t.lineitem, "l_quantity", "l_returnflag"), "f").select("statistic", "p_value"), 6, "statistic"), 8, "p_value")
+
+
+def _tree(t):
+    return H.chaid(t.lineitem, "l_returnflag", ["l_linestatus"], max_depth=1)
+
+
+@query("chaid_split", f"WITH {_CHI} SELECT 1 AS node, 'l_linestatus' AS predictor, 2 AS groups, round(chi, 4) AS statistic, (SELECT count(*) - 1 FROM r)::INT AS df FROM x")
+def _(t):
+    return _rounded(_tree(t).split_summary(t.spark).drop("p_value", "adjusted_p_value"), 4, "statistic")
+
+
+@query("chaid_rules", """WITH c AS (SELECT l_linestatus AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT *, sum(n) OVER (PARTITION BY s) AS t, row_number() OVER (PARTITION BY s ORDER BY n DESC, f) AS i FROM c)
+SELECT 'l_linestatus in (' || s || ')' AS rule, t::BIGINT AS n, f AS predicted_label, round(n / t, 8) AS probability FROM k WHERE i = 1""")
+def _(t):
+    return _rounded(_tree(t).rule_table(t.spark).drop("node"), 8, "probability")
+
+
+@query("chaid_errors", """WITH c AS (SELECT l_linestatus AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT s, sum(n) AS t, sum(n) - max(n) AS e FROM c GROUP BY 1) SELECT t::BIGINT AS n, e::BIGINT AS errors, round(e / t, 8) AS error_rate FROM k""")
+def _(t):
+    return _rounded(_tree(t).errors(t.lineitem).drop("node"), 8, "error_rate")
