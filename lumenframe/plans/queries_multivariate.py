@@ -105,21 +105,29 @@ def _(t):
     return _rounded(_rounded(S.p_values(S.anova(t.lineitem, "l_quantity", "l_returnflag"), "f").select("statistic", "p_value"), 6, "statistic"), 8, "p_value")
 
 
+_SIZES = "c AS (SELECT CASE WHEN l_quantity > 25 THEN 'true' ELSE 'false' END AS s, CASE WHEN l_quantity > 20 THEN 'high' ELSE 'low' END AS f, count(*) AS n FROM lineitem GROUP BY 1, 2)"
+
+
+def _amounts(t):
+    return t.lineitem.select((C("l_quantity") > 25).alias("large"), F.when(C("l_quantity") > 20, "high").otherwise("low").alias("amount"))
+
+
 def _tree(t):
-    return H.chaid(t.lineitem, "l_returnflag", ["l_linestatus"], max_depth=1)
+    return H.chaid(_amounts(t), "amount", ["large"], max_depth=1)
 
 
-@query("chaid_split", f"WITH {_CHI} SELECT 1 AS node, 'l_linestatus' AS predictor, 2 AS groups, round(chi, 4) AS statistic, (SELECT count(*) - 1 FROM r)::INT AS df FROM x")
+@query("chaid_split", f"""WITH {_SIZES}, m AS (SELECT *, sum(n) OVER (PARTITION BY s) * sum(n) OVER (PARTITION BY f) / sum(n) OVER () AS e FROM c), t AS (SELECT sum(n) AS n, sum(e) AS e, sum((n - e) ** 2 / e) AS x FROM m)
+SELECT 1 AS node, 'large' AS predictor, 2 AS groups, round(x + n - e, 4) AS statistic, 1 AS df FROM t""")
 def _(t):
     return _rounded(_tree(t).split_summary(t.spark).drop("p_value", "adjusted_p_value"), 4, "statistic")
 
 
-@query("chaid_rules", """WITH c AS (SELECT l_linestatus AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT *, sum(n) OVER (PARTITION BY s) AS t, row_number() OVER (PARTITION BY s ORDER BY n DESC, f) AS i FROM c)
-SELECT 'l_linestatus in (' || s || ')' AS rule, t::BIGINT AS n, f AS predicted_label, round(n / t, 8) AS probability FROM k WHERE i = 1""")
+@query("chaid_rules", f"""WITH {_SIZES}, k AS (SELECT *, sum(n) OVER (PARTITION BY s) AS t, row_number() OVER (PARTITION BY s ORDER BY n DESC, f) AS i FROM c)
+SELECT 'large in (' || s || ')' AS rule, t::BIGINT AS n, f AS predicted_label, round(n / t, 8) AS probability FROM k WHERE i = 1""")
 def _(t):
     return _rounded(_tree(t).rule_table(t.spark).drop("node"), 8, "probability")
 
 
-@query("chaid_errors", """WITH c AS (SELECT l_linestatus AS s, l_returnflag AS f, count(*) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT s, sum(n) AS t, sum(n) - max(n) AS e FROM c GROUP BY 1) SELECT t::BIGINT AS n, e::BIGINT AS errors, round(e / t, 8) AS error_rate FROM k""")
+@query("chaid_errors", f"WITH {_SIZES}, k AS (SELECT s, sum(n) AS t, sum(n) - max(n) AS e FROM c GROUP BY 1) SELECT t::BIGINT AS n, e::BIGINT AS errors, round(e / t, 8) AS error_rate FROM k")
 def _(t):
-    return _rounded(_tree(t).errors(t.lineitem).drop("node"), 8, "error_rate")
+    return _rounded(_tree(t).errors(_amounts(t)).drop("node"), 8, "error_rate")
