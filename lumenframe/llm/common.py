@@ -99,6 +99,26 @@ def bounded_batches(spark: SparkSession, size: str = "8m") -> None:
         spark.conf.set(key, size)
 
 
+def key_groups(batches):
+    """The columns of sorted batches in pieces that hold whole (key, part) groups."""
+    import numpy as np
+
+    held = None
+    for b in batches:
+        if not len(b):
+            continue
+        now = [c.to_numpy() for c in b.columns]
+        if held is not None:
+            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
+        last = np.nonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[0]
+        cut = int(last[-1]) + 1 if len(last) else 0
+        held = [x[cut:] for x in now]
+        if cut:
+            yield [x[:cut] for x in now]
+    if held is not None:
+        yield held
+
+
 def ascii_fold_table() -> bytes:
     """bytes.translate table: A-Z to a-z, every other ASCII byte but digits and letters to a space."""
     return bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or 48 <= i <= 57 or 97 <= i <= 122 else 32 for i in range(256))

@@ -1,17 +1,19 @@
-"""Near copies by exact Jaccard similarity of five-word shingles, found through prefix filtering.
-
-Shingles are put in one global order: those that recur in a sample of documents last, by their count there, the others by
-hash. Of a set of s shingles only the first ``s - ceil(t * s) + 1`` are keys; two sets of similarity t or more share at
-least one of them, whatever the order is, so no pair is lost: the sample only sets the speed. Pairs that meet are first
-compared by parity bitmaps of at least two bits a shingle (the larger folded to the smaller), which differ in at most as
-many bits as the sets differ in shingles, so this loses no pair either; what is left is verified on the whole sets of
-64-bit shingle hashes.
-
-Equal sets are merged first. Keys are shuffled once; those of a single set, most of them, go no further, and of keys with
-the same sets (as those of a passage have) one stays. Of the others each first links its sets to its smallest and to the next in size only, which brings large groups of copies into one
-class without their pairs; then all pairs of sets of different classes are compared, in the task that holds their key, by
-256 of the bitmaps' bits and under the first of the keys that they share, and those left by the whole bitmaps. A key with very many sets is dealt in blocks, pair of blocks
-by pair of blocks.
+"""Near copies at a Jaccard similarity of five-word shingles: SimHash with Golay-code keys, completed by prefix filtering.
+
+Equal sets of shingles are merged first. Each set has a wide SimHash fingerprint (``simhash.wide_fingerprint``); the sets whose
+fingerprints meet under a Golay-code key and are near are verified on the whole sets of 64-bit shingle hashes, and
+the links become classes. That misses less than one in a thousand pairs at the similarity itself, and pairs of groups of
+copies in which a fingerprint is paired with its nearest only.
+
+What is missed is found among sets of different classes by prefix filtering, which is exact. Shingles are put in one
+global order: those that recur in a sample of documents last, by their count there, the others by hash. Of a set of s
+shingles only the first ``s - ceil(t * s) + 1`` are keys; two sets of similarity t or more share at least one of them,
+whatever the order is, so no pair is lost: the sample only sets the speed. Keys are shuffled once; those of a single set,
+most of them, go no further, and of keys with the same sets (as those of a passage have) one stays. All pairs of sets
+of different classes are compared, in the task that holds their key, by 256 bits of their parity bitmaps and under
+the first of the keys that they share, and those left by the whole bitmaps of at least two bits a shingle (the larger folded
+to the smaller), which differ in at most as many bits as the sets differ in shingles, so this loses no pair either; what is
+left is verified on the whole sets. A key with very many sets is dealt in blocks, pair of blocks by pair of blocks.
 
 Words are maximal runs of other than ASCII white space, A-Z lower-cased. A text of fewer words than a shingle has its
 whole sequence as the one shingle. Null and empty texts have the empty set and are copies of each other. Repeated rows
@@ -27,7 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import files_for, q, release, texts, written
+from . import simhash
+from .common import files_for, key_groups, q, release, texts, written
 from .decontaminate import shingle_hashes
 from .graph import components
 
@@ -101,24 +104,6 @@ def recurring_shingles(docs: DataFrame, text: Column, k: int, rows: int) -> tupl
     return key[order], n[order]
 
 
-def _groups(batches):
-    """The columns of sorted batches in pieces that hold whole (key, part) groups."""
-    held = None
-    for b in batches:
-        if not len(b):
-            continue
-        now = [c.to_numpy() for c in b.columns]
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now, strict=True)]
-        last = np.nonzero((now[0] != now[0][-1]) | (now[1] != now[1][-1]))[0]
-        cut = int(last[-1]) + 1 if len(last) else 0
-        held = [x[cut:] for x in now]
-        if cut:
-            yield [x[:cut] for x in now]
-    if held is not None:
-        yield held
-
-
 def _mixed(x: np.ndarray, odd: int) -> np.ndarray:
     x = x.view(np.uint64) * np.uint64(odd)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -132,7 +117,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     def meet(batches):
         import pyarrow as pa
 
-        for key, part, sid, at in _groups(batches):
+        for key, part, sid, at in key_groups(batches):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             stay = ~new | ~np.concatenate([new[1:], [True]]) | (part > 0)
             if stay.any():
@@ -144,7 +129,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(meet, "key long, sid long, at long, s0 long, s1 long")
 
 
-def _candidates(rows: DataFrame, stars: bool, similarity: tuple[int, int]) -> DataFrame:
+def _candidates(rows: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     """(u, v) of different classes that meet under a key and may be similar by their sizes and places in the order."""
     num, den = similarity
 
@@ -154,14 +139,13 @@ def _candidates(rows: DataFrame, stars: bool, similarity: tuple[int, int]) -> Da
         def found(key, part, size, pos, sid, label, *more):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
             group = np.cumsum(new) - 1
-            start = np.nonzero(new)[0]
 
             def near(a, b):
                 small, big = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
                 most = np.minimum(pos[a], pos[b]) + np.minimum(size[a] - pos[a], size[b] - pos[b])
                 ok = (den * small >= num * big) & ((den + num) * most >= num * (small + big)) & (label[a] != label[b])
                 a, b, total = a[ok], b[ok], (small + big)[ok]
-                if not stars and len(a):
+                if len(a):
                     odd = sum(np.bitwise_count((w[a] ^ w[b]).view(np.uint64)).astype(np.int64) for w in words)
                     ok = odd <= total - 2 * -(-num * total // (den + num))
                     a, b = a[ok], b[ok]
@@ -174,10 +158,6 @@ def _candidates(rows: DataFrame, stars: bool, similarity: tuple[int, int]) -> Da
 
             words, first = more[: len(WORDS)], more[len(WORDS) :]
             active, step = np.nonzero(~np.concatenate([new[1:], [True]]))[0], 1
-            if stars:
-                yield near(active, active + 1)
-                yield near(start[group[active + 1]], active + 1)
-                return
             while len(active):
                 yield near(active, active + step)
                 step += 1
@@ -185,12 +165,12 @@ def _candidates(rows: DataFrame, stars: bool, similarity: tuple[int, int]) -> Da
                 other = active + step
                 active = active[(group[active] == group[other]) & (den * size[active] >= num * size[other])]
 
-        for columns in _groups(batches):
+        for columns in key_groups(batches):
             for u, v in found(*columns):
                 if len(u):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
 
-    dealt = rows.select("key", "part", "size", "pos", "sid", "label", *([] if stars else WORDS + FIRST)).repartition("key", "part").sortWithinPartitions("key", "part", "size", "sid")
+    dealt = rows.select("key", "part", "size", "pos", "sid", "label", *WORDS, *FIRST).repartition("key", "part").sortWithinPartitions("key", "part", "size", "sid")
     return dealt.mapInArrow(meet, "u long, v long").distinct()
 
 
@@ -248,13 +228,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = q(text_col)
     n_docs = docs.count()
     files = files_for(spark, n_docs, DOCS_PER_FILE)
+    plan = simhash.wide_plan(n_docs, similarity[0] / similarity[1])
+    n_words = simhash.wide_words(plan[1])
     shared = spark.sparkContext.broadcast(recurring_shingles(docs, text, shingle_words, n_docs))
 
     def describe(batches):
         import pyarrow as pa
 
         for batch in batches:
-            sid, size, rare, bits, keys, words = [], [], [], [], [], []
+            sid, size, rare, bits, keys, words, prints = [], [], [], [], [], [], []
             for b in texts(batch.column(1)):
                 s = shingle_set(b, shingle_words)
                 p, r = prefix(s, *shared.value, similarity)
@@ -263,12 +245,13 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rare.append(r)
                 bits.append(parity(s))
                 words.append(folded(bits[-1]))
+                prints.append(simhash.wide_fingerprint(s, n_words))
                 keys.append(p.view(np.int64))
             ends = np.concatenate([[0], np.cumsum([len(p) for p in keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(bits, pa.binary()), lists, *map(pa.array, np.array(words).reshape(-1, 4).T.copy())], names=["id", "sid", "size", "rare", "bits", "keys", *WORDS])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid, pa.int64()), pa.array(size, pa.int64()), pa.array(rare, pa.int64()), pa.array(bits, pa.binary()), lists, *map(pa.array, np.array(words).reshape(-1, 4).T.copy()), pa.array(prints, pa.binary())], names=["id", "sid", "size", "rare", "bits", "keys", *WORDS, "fp"])
 
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + T._parse_datatype_string("sid long, size long, rare long, bits binary, keys array<long>, w0 long, w1 long, w2 long, w3 long").fields)
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType)] + T._parse_datatype_string("sid long, size long, rare long, bits binary, keys array<long>, w0 long, w1 long, w2 long, w3 long, fp binary").fields)
     whole = written(docs.select(q(id_col).alias("id"), text.alias("text")).mapInArrow(describe, schema), "near-whole")
     own = written(whole.select("id", "sid"), "near-docs", files)
     reps = own.groupBy("sid").agg(F.min("id").alias("rep"))
@@ -283,10 +266,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def marked(rows: DataFrame) -> DataFrame:
         return rows.join(F.broadcast(often), "key", "left")
 
-    def dealt(rows: DataFrame, pairs: bool) -> DataFrame:
-        rows = marked(rows).select("key", F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), "sid", "label", n_blocks.alias("nb"), mine.alias("mine"), *([other.alias("other"), *WORDS, *FIRST] if pairs else []))
-        part = F.least("mine", "other") * F.col("nb") + F.greatest("mine", "other") if pairs else F.col("mine")
-        return rows.withColumn("part", part)
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = marked(rows).select("key", F.shiftright("at", 32).alias("size"), F.col("at").bitwiseAND((1 << 32) - 1).alias("pos"), "sid", "label", n_blocks.alias("nb"), mine.alias("mine"), other.alias("other"), *WORDS, *FIRST)
+        return rows.withColumn("part", F.least("mine", "other") * F.col("nb") + F.greatest("mine", "other"))
 
     def collected() -> None:
         gc.collect()
@@ -296,10 +278,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     met = written(_shared(keyed), "near-met", files)
     shared_rows = written(met.join(met.groupBy("s0", "s1").agg(F.min("key").alias("key")).select("key"), "key", "left_semi").select("key", "sid", "at"), "near-shared", files)
     release(met)
-    bits = written(one.select("sid", "size", "bits", *WORDS), "near-bits", files)
+    bits = written(one.select("sid", "size", "bits", *WORDS, "fp"), "near-bits", files)
     release(one)
     collected()
-    first = written(_alike(_candidates(dealt(shared_rows.withColumn("label", F.col("sid")), False), True, similarity), bits, similarity), "near-stars", files)
+    first = written(_alike(simhash.wide_links(bits.select("sid", "fp"), *plan, block), bits, similarity), "near-fingerprints", files)
     links = _verified(first, docs, text, shingle_words, similarity, files)
     labels = written(components(links).select(F.col("node").alias("sid"), F.col("root").alias("label")), "near-labels", files)
     named = bits.join(labels, "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), *WORDS)
@@ -307,7 +289,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = named.join(firsts, "sid").select("sid", "label", *WORDS, *[F.coalesce(F.get("keys", F.lit(i)), F.lit(_NO_KEY)).alias(c) for i, c in enumerate(FIRST)])
     named = shared_rows.join(named, "sid").select("key", "sid", "at", "label", *WORDS, *FIRST)
     collected()
-    second = written(_alike(_candidates(dealt(named, True), False, similarity), bits, similarity), "near-pairs", files)
+    second = written(_alike(_candidates(dealt(named), similarity), bits, similarity), "near-pairs", files)
     links = links.unionByName(_verified(second, docs, text, shingle_words, similarity, files))
     collected()
     linked = written(components(links), "near-classes", files)
